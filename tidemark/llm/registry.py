@@ -1,11 +1,18 @@
 """Queries of this package, by name, and their SQL oracles."""
 
-from . import q_chat
+from . import q_chat, q_langid, q_toxicity
+
+QUERIES = {
+    "op2_toxicity": q_toxicity.op2_toxicity,
+    "op5_language_id": q_langid.op5_language_id,
+    "op10_chat_format": q_chat.op10_chat_format,
+}
+ORACLES = {"op10_chat_format": q_chat.SQL}
 
 
 def queries() -> dict:
-    return {"op10_chat_format": q_chat.op10_chat_format}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": q_chat.SQL}
+    return dict(ORACLES)
