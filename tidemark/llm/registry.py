@@ -1,15 +1,16 @@
 """Queries of this package, by name, and their SQL oracles."""
 
-from . import q_bpe, q_chat, q_langid, q_pii, q_toxicity
+from . import q_bpe, q_chat, q_langid, q_pii, q_topk, q_toxicity
 
 QUERIES = {
     "op2_toxicity": q_toxicity.op2_toxicity,
+    "op3_topk": q_topk.op3_topk,
     "op4_pii": q_pii.op4_pii,
     "op5_language_id": q_langid.op5_language_id,
     "op6_bpe": q_bpe.op6_bpe,
     "op10_chat_format": q_chat.op10_chat_format,
 }
-ORACLES = {"op10_chat_format": q_chat.SQL}
+ORACLES = {"op3_topk": q_topk.SQL, "op10_chat_format": q_chat.SQL}
 
 
 def queries() -> dict:
