@@ -72,15 +72,15 @@ def _arrays(xs: list, dim: int, exact: bool) -> np.ndarray:
 
 def search_shard(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     found = []
-    for dim, part in queries.groupby(queries.xs.map(len)):
-        own = rows[rows.xs.map(len) == dim].sort_values("vec_id", kind="stable")
+    for dim, part in queries.groupby(queries["xs"].map(len)):
+        own = rows[rows["xs"].map(len) == dim].sort_values("vec_id", kind="stable")
         if not len(own):
             continue
         # Products are exact in doubles below 2**53; larger ones are computed with whole numbers.
-        peak = max(int(np.abs(np.array(list(own.xs), np.float64)).max()), 1) * max(int(np.abs(np.array(list(part.xs), np.float64)).max()), 1)
+        peak = max(int(np.abs(np.array(list(own["xs"]), np.float64)).max()), 1) * max(int(np.abs(np.array(list(part["xs"]), np.float64)).max()), 1)
         exact = peak * dim * 2 < EXACT
-        shard = Shard(own.vec_id.to_numpy(np.int64), _arrays(list(own.xs), dim, exact))
-        for query_id, q in zip(part.query_id, _arrays(list(part.xs), dim, exact), strict=True):
+        shard = Shard(own.vec_id.to_numpy(np.int64), _arrays(list(own["xs"]), dim, exact))
+        for query_id, q in zip(part.query_id, _arrays(list(part["xs"]), dim, exact), strict=True):
             ids, scores = shard.search(int(query_id), q, k)
             found += [(int(query_id), int(i), int(s)) for i, s in zip(ids, scores, strict=True)]
     return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
