@@ -1,8 +1,9 @@
 """Queries of this package, by name, and their SQL oracles."""
 
-from . import q_bpe, q_chat, q_langid, q_pii, q_topk, q_toxicity
+from . import q_bpe, q_chat, q_decontaminate, q_langid, q_pii, q_topk, q_toxicity
 
 QUERIES = {
+    "op1_decontaminate": q_decontaminate.op1_decontaminate,
     "op2_toxicity": q_toxicity.op2_toxicity,
     "op3_topk": q_topk.op3_topk,
     "op4_pii": q_pii.op4_pii,
