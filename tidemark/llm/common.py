@@ -50,16 +50,23 @@ def text_bytes(docs: DataFrame) -> int:
     return int(row["b"] or 0)
 
 
-def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, text (null as empty) and g: a bounded share of the corpus, dealt by a hash of id and text.
+def group_size(total: int) -> int:
+    """Bytes of a group. Keys travel from G groups to G buckets: groups grow with the root of the corpus,
+    so that each of the G * G parcels keeps about a hundred keys or more."""
+    return max(GROUP_BYTES, int((600 * total) ** 0.5))
 
-    Hot sources, repeated ids and copies spread evenly; the number of groups follows the bytes.
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text (null as empty) and g: a bounded share of the corpus, dealt by a hash of id and size.
+
+    Hot sources and copies spread evenly; the number of groups, also returned, follows the bytes.
     """
     spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // group_bytes))
+    total = text_bytes(docs)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_size(total)))
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return out.withColumn("g", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int"))
+    return out.withColumn("g", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int")), n
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,6 @@
 """Queries of this package, by name, and their SQL oracles."""
 
-from . import q_bpe, q_chat, q_decontaminate, q_langid, q_pii, q_topk, q_toxicity
+from . import q_bpe, q_chat, q_decontaminate, q_langid, q_neardup, q_pii, q_topk, q_toxicity
 
 QUERIES = {
     "op1_decontaminate": q_decontaminate.op1_decontaminate,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_pii": q_pii.op4_pii,
     "op5_language_id": q_langid.op5_language_id,
     "op6_bpe": q_bpe.op6_bpe,
+    "op9_ngram_join": q_neardup.op9_ngram_join,
     "op10_chat_format": q_chat.op10_chat_format,
 }
 ORACLES = {"op3_topk": q_topk.SQL, "op10_chat_format": q_chat.SQL}
