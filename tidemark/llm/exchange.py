@@ -3,7 +3,7 @@
 A group of documents sends, to each bucket of the key space, one parcel with its sorted keys as
 differences in byte planes (the high planes are zeros, which the shuffle compresses away). A bucket
 counts its keys over all parcels and returns to each group one small answer for every key sent, in the
-same order. So a question such as "how many documents hold this shingle" costs a few bytes a shingle.
+same order; ``top`` is the bucket's largest. So a question such as "how many documents hold this shingle" costs a few bytes a shingle.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 KEY_BITS = 48
 PARCELS = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
-ANSWERS = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("codes", pa.binary())])
-PARCEL_TYPE, ANSWER_TYPE = "b int, g int, n int, keys binary, extra binary", "g int, b int, codes binary"
+ANSWERS = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("codes", pa.binary()), ("top", pa.int32())])
+PARCEL_TYPE, ANSWER_TYPE = "b int, g int, n int, keys binary, extra binary", "g int, b int, codes binary, top int"
 
 
 def short(hashes: np.ndarray) -> np.ndarray:
@@ -64,7 +64,8 @@ def answer(sent: DataFrame, count: Callable[[np.ndarray, list[bytes]], np.ndarra
         codes = count(np.concatenate(keys), table.column("extra").to_pylist())
         at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         back = [codes[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-        return pa.Table.from_arrays([table.column("g").combine_chunks(), table.column("b").combine_chunks(), pa.array(back, pa.binary())], schema=ANSWERS)
+        top = pa.array(np.full(len(back), codes.max(initial=0)), pa.int32())
+        return pa.Table.from_arrays([table.column("g").combine_chunks(), table.column("b").combine_chunks(), pa.array(back, pa.binary()), top], schema=ANSWERS)
 
     return sent.groupBy("b").applyInArrow(run, ANSWER_TYPE)
 
