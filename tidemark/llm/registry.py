@@ -1,6 +1,6 @@
 """Queries of this package, by name, and their SQL oracles."""
 
-from . import q_bpe, q_chat, q_decontaminate, q_langid, q_neardup, q_pii, q_substrings, q_topk, q_toxicity
+from . import q_bpe, q_chat, q_decontaminate, q_langid, q_lm, q_neardup, q_pii, q_substrings, q_topk, q_toxicity
 
 QUERIES = {
     "op1_decontaminate": q_decontaminate.op1_decontaminate,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_pii": q_pii.op4_pii,
     "op5_language_id": q_langid.op5_language_id,
     "op6_bpe": q_bpe.op6_bpe,
+    "op7_lm_score": q_lm.op7_lm_score,
     "op8_suffix_dedup": q_substrings.op8_suffix_dedup,
     "op9_ngram_join": q_neardup.op9_ngram_join,
     "op10_chat_format": q_chat.op10_chat_format,
