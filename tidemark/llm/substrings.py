@@ -43,7 +43,7 @@ WIDTH = LENGTH - WORD + 1
 HOT = 30000
 #: Sorted suffixes of a collection are kept in files beyond this many bytes.
 IN_MEMORY = 256 << 20
-COLLECTION_BYTES = 4 << 20
+COLLECTION_BYTES, COLUMN_BYTES = 4 << 20, 1 << 18
 PLACE_BITS = 25
 #: Codes of a block: single; repeated; open; repeated and sent on for its equals; the last two under a hot owner.
 SINGLE, REPEATED, OPEN, HEAD, HOT_OPEN, HOT_HEAD = range(6)
@@ -175,16 +175,20 @@ def twice(keys: np.ndarray, extras: list[bytes]) -> np.ndarray:
 
 
 class Sorted:
-    """The sorted suffixes of a collection, column by column, in memory or in files."""
+    """The sorted suffixes of a collection, column by column, in memory or in files.
 
-    FIELDS = {"first": np.int32, "rest": np.int32, "lcp": np.int16, "at": np.int32}
+    ``key`` holds the first symbol and the place of the rest, ``lcp`` the common prefix with the suffix
+    before, ``at`` where the suffix starts. The empty suffixes, one for each text, come before all and
+    are not stored; they differ from each other.
+    """
 
-    def __init__(self, n_texts: int, external: bool):
-        # One empty suffix for each text comes first; they differ from each other.
+    FIELDS = {"key": np.int64, "lcp": np.int16, "at": np.int32}
+
+    def __init__(self, external: bool):
         self.folder = tempfile.TemporaryDirectory() if external else None
         self.held: dict[str, np.ndarray] = {}
         for name, kind in self.FIELDS.items():
-            self.put(name, np.full(n_texts, 0 if name in ("first", "lcp") else -1, kind))
+            self.put(name, np.zeros(0, kind))
 
     def get(self, name: str) -> np.ndarray:
         if self.folder:
@@ -246,39 +250,38 @@ def repeated_starts(flat: np.ndarray, offsets: np.ndarray, need: int, external:
     out = np.zeros(len(flat), bool)
     if not len(flat):
         return out
-    symbol = np.unique(flat, return_inverse=True)[1].astype(np.int64) + 1
-    store = Sorted(n_texts, external)
-    current = np.arange(n_texts)  # place of each text's latest suffix
+    symbol = (np.unique(flat, return_inverse=True)[1].astype(np.int64) + 1) << 32
+    mask = (1 << 32) - 1
+    store = Sorted(external)
+    current = np.arange(n_texts)  # place of each text's latest suffix; places count the empty suffixes
     for depth in range(1, int(size.max()) + 1):
         text = np.flatnonzero(size >= depth)
         at = offsets[1:][text] - depth
-        key = symbol[at] << 32 | current[text]
-        order = np.argsort(key, kind="stable")
+        key = symbol[at] | current[text]
+        order = np.argsort(key)
         text, at, key = text[order], at[order], key[order]
-        first, rest, lcp = store.get("first"), store.get("rest"), store.get("lcp")
-        n, m = len(first), len(key)
-        old = first.astype(np.int64) << 32 | np.maximum(rest, 0)
-        old[:n_texts] = np.arange(n_texts) - n_texts  # empty suffixes before all others
+        old, lcp = store.get("key"), store.get("lcp")
+        n, m = len(old), len(key)
         spot = np.searchsorted(old, key)
         place = spot + np.arange(m)
-        # Common prefixes with the one before, and of the one after with it, from minima over the rests.
-        before = np.empty(m, np.int64)
-        before[0] = old[spot[0] - 1]
-        before[1:] = np.where(spot[1:] == spot[:-1], key[:-1], old[spot[1:] - 1])
-        new_lcp = np.zeros(m, np.int16)
-        same = np.flatnonzero((before >= 0) & (before >> 32 == key >> 32))
-        mask = (1 << 32) - 1
-        new_lcp[same] = 1 + range_min(lcp, (before[same] & mask) + 1, key[same] & mask)
-        last = np.flatnonzero((spot < n) & np.append(spot[1:] != spot[:-1], True))
-        after = old[spot[last]]
-        tied = (after >> 32) == (key[last] >> 32)
-        changed = lcp.copy()
-        changed[spot[last]] = 0
-        if tied.any():
-            changed[spot[last[tied]]] = 1 + range_min(lcp, (key[last[tied]] & mask) + 1, after[tied] & mask)
         is_old = np.ones(n + m, bool)
         is_old[place] = False
         moved = np.flatnonzero(is_old)  # the new place of each old suffix
+        # Common prefixes with the one before, and of the one after with it, from minima over the rests.
+        before = np.where(spot > 0, old[np.maximum(spot - 1, 0)] if n else 0, 0)
+        before[1:] = np.where(spot[1:] == spot[:-1], key[:-1], before[1:])
+        new_lcp = np.zeros(m, np.int16)
+        same = np.flatnonzero(before >> 32 == key >> 32)
+        new_lcp[same] = 1 + _common(lcp, before[same] & mask, key[same] & mask, n_texts)
+        last = np.flatnonzero((spot < n) & np.append(spot[1:] != spot[:-1], True))
+        changed = lcp
+        if len(last):
+            after = old[spot[last]]
+            tied = (after >> 32) == (key[last] >> 32)
+            changed = lcp.copy()
+            changed[spot[last]] = 0
+            changed[spot[last[tied]]] = 1 + _common(lcp, key[last[tied]] & mask, after[tied] & mask, n_texts)
+        to = np.concatenate([np.arange(n_texts), moved + n_texts])
 
         def insert(name: str, old_part: np.ndarray, new_part: np.ndarray) -> None:
             x = np.empty(n + m, Sorted.FIELDS[name])
@@ -286,40 +289,59 @@ def repeated_starts(flat: np.ndarray, offsets: np.ndarray, need: int, external:
             x[place] = new_part
             store.put(name, x)
 
-        insert("first", first, key >> 32)
-        insert("rest", np.where(rest >= 0, moved[rest], -1), moved[key & mask])
-        insert("lcp", changed, np.minimum(new_lcp, 32000))
+        insert("key", (old & ~mask) | to[old & mask], (key & ~mask) | to[key & mask])
+        insert("lcp", changed, new_lcp)
         insert("at", store.get("at"), at)
-        current = moved[current]
-        current[text] = place
+        current = to[current]
+        current[text] = place + n_texts
     lcp, at = store.get("lcp"), store.get("at")
     hit = lcp >= need
     hit[:-1] |= hit[1:].copy()
-    out[at[hit & (at >= 0)]] = True
+    out[at[hit]] = True
     store.close()
     return out
 
 
+def _common(lcp: np.ndarray, a: np.ndarray, b: np.ndarray, n_texts: int) -> np.ndarray:
+    """Common prefix of the suffixes at places a < b: none if a is empty, else the least between them."""
+    out = np.zeros(len(a), np.int16)
+    full = np.flatnonzero(a >= n_texts)
+    if len(full):
+        out[full] = range_min(lcp, a[full] + 1 - n_texts, b[full] - n_texts)
+    return out
+
+
 def repeated_windows(bodies: list[bytes], places: list[int], external: bool | None = None) -> list[np.ndarray]:
     """For each block (its bytes, and its owner's place in them) which of its windows are repeated in the collection."""
-    texts, origin = [], []
-    for k, (body, place) in enumerate(zip(bodies, places, strict=True)):
-        raw, windows = np.frombuffer(body, np.uint8), len(body) - LENGTH + 1
-        for r in range(SYMBOL):
-            start = (place + r) % SYMBOL
-            if start < windows:
-                count = (len(raw) - start) // SYMBOL
-                texts.append(raw[start : start + count * SYMBOL])
-                origin.append((k, start))
-    flat = np.concatenate(texts).view("<u8")
-    offsets = np.concatenate([[0], np.cumsum([len(t) // SYMBOL for t in texts])])
+    raw = np.frombuffer(b"".join(bodies), np.uint8)
+    size = np.array([len(b) for b in bodies])
+    first = np.cumsum(size) - size
+    # One text for each block and alignment that has a window: its first byte, and its number of symbols.
+    windows = size - LENGTH + 1
+    block = np.repeat(np.arange(len(bodies)), SYMBOL)
+    start = (np.array(places)[block] + np.tile(np.arange(SYMBOL), len(bodies))) % SYMBOL
+    block, start = block[start < windows[block]], start[start < windows[block]]
+    count = (size[block] - start) // SYMBOL
+    offsets = np.concatenate([[0], np.cumsum(count)])
+    at = np.repeat(first[block] + start - offsets[:-1] * SYMBOL, count) + np.arange(offsets[-1]) * SYMBOL
+    flat = np.zeros(len(at), "<u8")
+    for k in range(SYMBOL):
+        flat |= raw[at + k].astype("<u8") << np.uint64(8 * k)
     big = 14 * len(flat) > IN_MEMORY if external is None else external
     hit = repeated_starts(flat, offsets, LENGTH // SYMBOL, big)
-    out = [np.zeros(len(b) - LENGTH + 1, bool) for b in bodies]
-    for (k, start), i, j in zip(origin, offsets[:-1], offsets[1:], strict=True):
-        own = out[k][start::SYMBOL]
-        own |= hit[i:j][: len(own)]
-    return out
+    mark = np.zeros(len(raw), bool)
+    mark[at[hit]] = True
+    return [mark[a : a + w] for a, w in zip(first.tolist(), windows.tolist(), strict=True)]
+
+
+def cuts(owner: list[int], size: list[int]) -> Iterator[int]:
+    """Ends of runs of whole owners with about COLUMN_BYTES."""
+    total = 0
+    for k, s in enumerate(size):
+        total += s
+        if k + 1 == len(size) or total >= COLUMN_BYTES and owner[k + 1] != owner[k]:
+            yield k + 1
+            total = 0
 
 
 def _open_blocks(table: pa.Table, codes: np.ndarray):
@@ -354,7 +376,7 @@ def remove(docs: DataFrame, hot: int = HOT, with_text: bool = False) -> DataFram
         return X.parcels(table.column("g")[0].as_py(), key, n_groups, content)
 
     found = C.materialize(X.answer(by_g.applyInArrow(send, X.PARCEL_TYPE), judge(hot)))
-    kind = pa.schema([("part", pa.int32()), ("g", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("place", pa.int32()), ("body", pa.binary())])
+    kind = pa.schema([("owner", pa.int32()), ("g", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("place", pa.int32()), ("body", pa.binary())])
 
     def pick(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, g, rows = left.column("doc_id").to_pylist(), left.column("g")[0].as_py() if len(left) else 0, []
@@ -366,13 +388,19 @@ def remove(docs: DataFrame, hot: int = HOT, with_text: bool = False) -> DataFram
                 rows.append((b, g, ids[i + d], int(p.text_key[d]), a - int(p.offsets[d]), int(p.place[k]) - a, p.data[a:e].tobytes()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, kind, strict=True)], schema=kind)
 
-    opened = C.materialize(by_g.cogroup(found.groupBy("g")).applyInArrow(pick, "part int, g int, doc_id long, text_key long, start long, place int, body binary"))
+    opened = C.materialize(by_g.cogroup(found.groupBy("g")).applyInArrow(pick, "owner int, g int, doc_id long, text_key long, start long, place int, body binary"))
     total = opened.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
     parts = max(1, -(-total // COLLECTION_BYTES))
     schema = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("codes", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("flags", pa.binary())])
 
     def solve(table: pa.Table) -> pa.Table:
-        got = repeated_windows(table.column("body").to_pylist(), table.column("place").to_pylist())
+        # Owners stay whole; collections are kept small, so that their columns stay near the processor.
+        table = table.sort_by("owner")
+        owner, bodies, places = (table.column(c).to_pylist() for c in ("owner", "body", "place"))
+        got, i = [], 0
+        for j in cuts(owner, [len(b) for b in bodies]):
+            got += repeated_windows(bodies[i:j], places[i:j])
+            i = j
         keep = np.array([x.any() for x in got])
         table = table.filter(pa.array(keep))
         flags = pa.array([np.packbits(x).tobytes() for x, k in zip(got, keep, strict=True) if k], pa.binary())
@@ -381,7 +409,7 @@ def remove(docs: DataFrame, hot: int = HOT, with_text: bool = False) -> DataFram
             [table.column("g").combine_chunks(), none, pa.nulls(len(table), pa.binary()), *(table.column(c).combine_chunks() for c in ("doc_id", "text_key", "start")), flags], schema=schema
         )
 
-    solved = opened.withColumn("part", F.pmod("part", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(solve, BACK)
+    solved = opened.withColumn("part", F.pmod("owner", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(solve, BACK)
     back = found.select("g", "b", "codes").unionByName(solved, allowMissingColumns=True)
     if (found.agg(F.max("top")).first()[0] or 0) >= HOT_OPEN:
         back = back.unionByName(_hot_windows(by_g, found, n_groups).select("g", "b", "codes"), allowMissingColumns=True)
