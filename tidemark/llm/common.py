@@ -18,7 +18,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text in one group of documents; the working memory of a task is a small multiple.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 
 
 _OWN: dict[str, str] = {}
