@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-UNIT_BYTES = 24 << 20
+UNIT_BYTES = 14 << 20
 NONE = np.iinfo(np.int32).max
 
 
