@@ -11,6 +11,6 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = fit(docs.where(~held).join(labels.where(~held), "doc_id"))
+    model = fit(docs.where(~held), labels.where(~held))
     out = score(docs, model)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

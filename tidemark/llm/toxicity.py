@@ -24,7 +24,7 @@ from . import common as C
 
 BUCKETS, DIM, SIZES = 1 << 18, 8, (3, 4, 5)
 #: Bounds of the fit: labelled rows of each class, and code points of each text (a window placed by a hash).
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 16000
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 10000
 EPOCHS, BATCH, RATE = 12, 128, 0.3
 #: n-grams of no leaning added to each text when it is scored: a few n-grams are little evidence.
 SMOOTH = 40
@@ -100,7 +100,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
         size = np.diff(at)[inverse]
         take = np.repeat(at[inverse] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         key, times = np.unique(np.repeat(doc, size) * BUCKETS + gram[order][take], return_counts=True)
-        rows.append(key // BUCKETS + i)
+        rows.append((key // BUCKETS + i).astype(np.int32))
         cols.append((key % BUCKETS).astype(np.int32))
         weights.append(times.astype(np.float32))
     row, col, weight = np.concatenate(rows), np.concatenate(cols), np.concatenate(weights)
@@ -137,19 +137,23 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """From (doc_id, text, toxic): up to ``rows`` rows of each class, drawn by a hash."""
-    known = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull())
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
+    """From docs (doc_id, text) and labels (doc_id, toxic): up to ``rows`` labels of each class, drawn by a hash of the id.
+
+    The draw is made on the labels alone; only its rows, bounded by ``rows``, go to the documents, which do not move.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     steps = 1 << 30
     below = F.lit(0)
     for label, n in counts.items():
         below = F.when(F.col("toxic") == label, F.lit(min(steps, -(-3 * rows * steps // (2 * n))))).otherwise(below)
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(steps))
+    picked = known.select("doc_id", draw.alias("draw"), F.col("toxic").alias("y"), below.alias("below")).where("draw < below").limit(4 * rows)
     start = (F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.length("text") - chars, F.lit(1))) + 1).cast("int")
-    picked = known.select(draw.alias("draw"), F.col("toxic").alias("y"), F.substring("text", start, F.lit(chars)).alias("t"), below.alias("below"))
-    got = sorted((r["draw"], r["t"], r["y"]) for r in picked.where("draw < below").select("draw", "y", "t").limit(4 * rows).collect())
-    kept = [x for label in counts for x in [g for g in got if g[2] == label][:rows]]
+    found = docs.where(F.col("text").isNotNull()).join(F.broadcast(picked.select("doc_id", "draw", "y")), "doc_id")
+    got = sorted((r["draw"], r["t"], r["y"]) for r in found.select("draw", "y", F.substring("text", start, F.lit(chars)).alias("t")).limit(4 * rows).collect())
+    kept = [x for label in sorted(counts) for x in [g for g in got if g[2] == label][:rows]]
     return train([x[1] for x in kept], [x[2] for x in kept])
 
 
