@@ -160,9 +160,10 @@ class Encoder:
 
 
 def encode(docs: DataFrame, path: str, digest: bool = False, text: str = "text") -> DataFrame:
-    """Every column of docs and n_tokens, ids; with ``digest`` the SHA-256 of the ids and of the decoded text instead of ids."""
+    """Every column of docs and n_tokens, ids, which replace columns so named; with ``digest`` the SHA-256 of the ids and of the decoded text instead of ids."""
     from pyspark.sql import functions as F
 
+    docs = docs.drop("n_tokens", "ids", "ids_sha256", "decoded_sha256")
     empty = docs.withColumn("n_tokens", F.lit(0).cast("long"))
     if digest:
         empty = empty.withColumn("ids_sha256", F.lit("")).withColumn("decoded_sha256", F.lit(""))

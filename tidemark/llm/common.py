@@ -45,6 +45,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame, names: tuple[str, ...]):
+    """docs with columns of these names put aside under others, and a function that puts them back."""
+    clash = {c: f"_aside_{c}" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(clash), lambda out: out.withColumnsRenamed({v: k for k, v in clash.items()})
+
+
 def text_bytes(docs: DataFrame) -> int:
     row = docs.agg(F.sum(F.octet_length("text").cast("long") + 16).alias("b")).first()
     return int(row["b"] or 0)

@@ -136,7 +136,8 @@ def compress(doc: np.ndarray, item: np.ndarray) -> list:
 
 
 def mark(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """Every column of docs and hits: array<struct<item_id, coverage, n_tiles>>, of items (item_id, text)."""
+    """Every column of docs and hits, which replaces one so named: array<struct<item_id, coverage, n_tiles>>, of items (item_id, text)."""
+    docs = docs.drop("hits")
     kept = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     n_chunks = max(1, -(-C.text_bytes(kept) // CHUNK_BYTES))
     chunk = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_chunks))

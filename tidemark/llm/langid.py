@@ -88,7 +88,8 @@ class Classifier:
 
 
 def classify(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
-    """Every column of docs and lang_pred, score, rejected. The model's size is bounded by the languages."""
+    """Every column of docs and lang_pred, score, rejected (which replace columns so named). The model's size is bounded by the languages."""
+    docs = docs.drop("lang_pred", "score", "rejected")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("rejected", F.lit(False)).schema
 

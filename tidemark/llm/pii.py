@@ -250,7 +250,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, model: Model, text: str = "text", redact: bool = False) -> DataFrame:
-    """Every column of docs and base, spans: array<struct<start, end, kind>>. With ``redact`` the text has [KIND] for each span."""
+    """Every column of docs and base, spans (which replace columns so named): array<struct<start, end, kind>>. With ``redact`` the text has [KIND] for each span."""
+    docs = docs.drop("base", "spans")
     kind = "array<struct<start:int,end:int,kind:string>>"
     schema = docs.withColumn("base", F.array().cast(kind)).withColumn("spans", F.array().cast(kind)).schema
     sent = docs.sparkSession.sparkContext.broadcast(model)

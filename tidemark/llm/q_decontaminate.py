@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import aside
 from .decontaminate import mark
 
 
@@ -16,4 +17,5 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold an item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return mark(docs, items).where(F.size("hits") == 0).select(*docs.columns)
+    own, back = aside(docs, ("hits",))
+    return back(mark(own, items).where(F.size("hits") == 0).select(*own.columns))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import aside, crc_mod
 from .langid import classify, fit
 
 
@@ -17,5 +17,6 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is rejected go."""
-    kept = classify(docs, fit(docs.select("doc_id", "text", "lang"), F.lit(True)))
-    return kept.where(~F.col("rejected")).select(*docs.columns)
+    own, back = aside(docs, ("lang_pred", "score", "rejected"))
+    kept = classify(own, fit(docs.select("doc_id", "text", "lang"), F.lit(True)))
+    return back(kept.where(~F.col("rejected")).select(*own.columns))

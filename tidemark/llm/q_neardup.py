@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import aside
 from .neardup import join
 
 
@@ -12,8 +13,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of 5-word shingles at 0.8, the document with the smallest id stays."""
+    own, back = aside(docs, ("_same",))
     found = join(docs.select("doc_id", "text"), words=5, percent=80)
     kept = found.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    rows = own.join(kept, own["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    rows = rows.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    return back(rows)
 

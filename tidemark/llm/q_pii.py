@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import aside
 from .pii import KINDS, find, fit
 
 
@@ -20,6 +21,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every span becomes the name of its kind."""
-    out = find(docs, fit(docs.select("doc_id", "text")), redact=True)
-    n = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n).select(*docs.columns)
+    own, back = aside(docs, ("base", "spans"))
+    out = find(own, fit(docs.select("doc_id", "text")), redact=True)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return back(out.select(*own.columns))

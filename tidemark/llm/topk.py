@@ -10,7 +10,7 @@ the shards' k best are merged. Every row stands against every query; nothing is
 Defined cases: vectors null, empty, or holding null or non-finite components take no part; neither do
 rows without an id; vectors of another length than the query's are no candidates for it; equal
 scores go to the smaller id; rows that repeat an id count once (the smallest vector). Extra columns are
-harmless, an empty table gives no rows.
+harmless, an empty table gives no rows; scores beyond 64 bits raise an error.
 """
 
 from __future__ import annotations

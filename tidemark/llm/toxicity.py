@@ -158,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every column of docs and ``score``. The model's size is fixed (BUCKETS numbers)."""
+    """Every column of docs and ``score`` (which replaces one so named). The model's size is fixed (BUCKETS numbers)."""
+    docs = docs.drop("score")
     sent = docs.sparkSession.sparkContext.broadcast((model.logit.astype(np.float32), model.bias))
     schema = docs.withColumn("score", F.lit(0.0)).schema
 
