@@ -6,8 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import color as K
+from ..functions import colormaps as CM
 from ..functions import scalar as S
+from ..functions import units as U
 from ..operators import events as E
+from ..operators import grids as D
 from ..operators import match as M
 from ..operators import smooth as G
 from ..operators import spectral as P
@@ -449,3 +452,46 @@ def protected_split(spark, d):
     return R.table(spark, d, "events").select("event_id", F.size(got).cast("long").alias("n"), got[2].alias("third"))
 
 
+
+
+@query("unit_conversion", "SELECT p_partkey, p_size * 2.54 AS cm, p_size * 6894.7573 / 101325 AS atm FROM part")
+def unit_conversion(spark, d):
+    p = R.table(spark, d, "part")
+    return p.select("p_partkey", U.convert(F.col("p_size"), "inch", "cm").alias("cm"), U.convert(F.col("p_size"), "psi", "atm").alias("atm"))
+
+
+@query("mesh", "SELECT CAST(i % 40 AS BIGINT) AS x, CAST(i // 40 AS BIGINT) AS y FROM range(1000) t(i)")
+def mesh(spark, d):
+    return D.mesh(spark, 25, 40)
+
+
+@query("color_map_jet", "SELECT CAST(i AS INTEGER) AS i, exp(-0.5 * ((i / 255.0 - 0.8) / 0.2) ^ 4) AS r, exp(-0.5 * ((i / 255.0 - 0.5) / 0.25) ^ 4) AS g, exp(-0.5 * ((i / 255.0 - 0.2) / 0.2) ^ 4) AS b FROM range(256) t(i)")
+def color_map_jet(spark, d):
+    return CM.jet(spark, 256)
+
+
+@query("daylight", "WITH t AS (SELECT i, 4000 + i * 100.0::DOUBLE AS k FROM range(100) r(i)), x AS (SELECT i, CASE WHEN k > 7000 THEN 0.237040 + 247.48 / k + 1.9018e6 / k ^ 2 - 2.0064e9 / k ^ 3 ELSE 0.244063 + 99.11 / k + 2.9678e6 / k ^ 2 - 4.6070e9 / k ^ 3 END AS x FROM t), y AS (SELECT i, x, -3.0 * x * x + 2.870 * x - 0.275 AS y FROM x) SELECT CAST(i AS BIGINT) AS i, x / y AS wx, (1 - x - y) / y AS wz FROM y")
+def daylight(spark, d):
+    x, _, z = CM.daylight(4000 + F.col("id") * 100.0)
+    return spark.range(100).select(F.col("id").alias("i"), x.alias("wx"), z.alias("wz"))
+
+
+@query("blurred_pictures")
+def blurred_pictures(spark, d):
+    return D.blur(R.images(spark, d).withColumn("v", F.col("v").cast("double")), "img", 0.6)
+
+
+@query("adaptive_contrast")
+def adaptive_contrast(spark, d):
+    return D.adaptive_contrast(R.images(spark, d), "img", 0.6)
+
+
+@query("thinned_pictures")
+def thinned_pictures(spark, d):
+    return D.thin(R.images(spark, d), "img", None)
+
+
+@query("dynamic_rebin")
+def dynamic_rebin(spark, d):
+    s = R.signals(spark, d).withColumn("x", F.floor(F.col("x") / 100).cast("double"))
+    return D.dynamic_rebin(s, ["k"], 10)
