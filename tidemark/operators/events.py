@@ -34,8 +34,8 @@ def schmitt(df: DataFrame, keys: list[str], on: float, off: float, end_type: int
         F.min("i").alias("up"),
         (F.max("i") + 1).alias("_last"),
         F.max("_n").alias("_n"),
-        F.max_by("i", F.struct(F.col(x), -F.col("i"))).alias("peak_i"),
-        F.max(x).alias("peak_x"),
+        F.max_by("i", F.when(~F.isnan(x), F.struct(F.col(x), -F.col("i")))).alias("peak_i"),
+        F.max(F.when(~F.isnan(x), F.col(x))).alias("peak_x"),
     )
     open_ = F.col("_last") == F.col("_n")
     if end_type == 0:

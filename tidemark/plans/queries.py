@@ -454,7 +454,7 @@ def protected_split(spark, d):
 
 
 
-@query("unit_conversion", "SELECT p_partkey, p_size * 2.54 AS cm, p_size * 6894.7573 / 101325 AS atm FROM part")
+@query("unit_conversion", "SELECT p_partkey, p_size * 2.54::DOUBLE AS cm, p_size * 6894.7573::DOUBLE / 101325 AS atm FROM part")
 def unit_conversion(spark, d):
     p = R.table(spark, d, "part")
     return p.select("p_partkey", U.convert(F.col("p_size"), "inch", "cm").alias("cm"), U.convert(F.col("p_size"), "psi", "atm").alias("atm"))
