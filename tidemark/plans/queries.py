@@ -422,10 +422,16 @@ def color_lch(spark, d):
 @query("color_round_trips", f"WITH {R.COLORS} SELECT s.space, count(*) AS n, CAST(0 AS BIGINT) AS off FROM c CROSS JOIN (VALUES ('cielab'), ('cielch'), ('cielchuv'), ('cieluv'), ('lms'), ('lshab'), ('lshuv'), ('srgb')) s(space) WHERE r + g + b > 0 GROUP BY s.space")
 def color_round_trips(spark, d):
     spaces = sorted(set(K.IN) - {"ciexyz", "linearrgb"})
-    c = R.colors(spark, d).where("r + g + b > 0")
-    gap = lambda s: F.greatest(*[F.abs(x - y) for x, y in zip(K.convert(K.convert(_rgb(), "linearrgb", s), s, "linearrgb"), _rgb(), strict=True)])
-    rows = c.select(F.explode(F.array(*[F.struct(F.lit(s).alias("space"), gap(s).alias("gap")) for s in spaces])).alias("t"))
-    return rows.groupBy("t.space").agg(F.count("*").alias("n"), F.count_if(~(F.col("t.gap") < 1e-6)).alias("off"))
+    base, out = R.colors(spark, d).where("r + g + b > 0"), None
+    for space in spaces:
+        # Each way is a projection of its own: one expression of both would repeat its parts at every level.
+        there = base.select("r", "g", "b", *_named(K.convert(_rgb(), "linearrgb", space), ("c0", "c1", "c2")))
+        back = there.select("r", "g", "b", *_named(K.convert((F.col("c0"), F.col("c1"), F.col("c2")), space, "ciexyz"), "xyz"))
+        back = back.select("r", "g", "b", *_named(K.convert((F.col("x"), F.col("y"), F.col("z")), "ciexyz", "linearrgb"), ("r1", "g1", "b1")))
+        gap = F.greatest(*[F.abs(F.col(c) - F.col(c + "1")) for c in "rgb"])
+        one = back.agg(F.count("*").alias("n"), F.count_if(~(gap < 1e-6)).alias("off")).select(F.lit(space).alias("space"), "n", "off")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("color_gray_and_blend", f"WITH {R.COLORS} SELECT o, l, (2 * r + 3 * g + b) / 6 AS gray, r * 0.25 + 0.75 * g AS blended, CASE WHEN least(63, floor((b - 0.1) / 0.8 * 64)) < 0 THEN 0 ELSE CAST(least(63, floor((b - 0.1) / 0.8 * 64)) AS INTEGER) END AS bin FROM c")
