@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import release
+
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UNIT_BYTES = 14 << 20
@@ -203,6 +205,7 @@ def encode(docs: DataFrame, path: str, digest: bool = False, text: str = "text")
                 if size >= UNIT_BYTES:
                     yield from unit(encoder, held)
                     held, size = [], 0
+                    release()
         if held:
             yield from unit(encoder, held)
 

@@ -6,6 +6,7 @@ whole-array arithmetic (a polynomial prefix sum modulo 2**64), so no Python code
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -24,6 +25,32 @@ GROUP_BYTES = 8 << 20
 _OWN: dict[str, str] = {}
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker's peak then does not stay with it between groups."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def released(fn):
+    """fn, releasing memory after each call."""
+
+    def call(*tables):
+        release()
+        out = fn(*tables)
+        release()
+        return out
+
+    return call
+
+
+def released2(fn):
+    """The same for functions of two tables that get the group's key."""
+    return lambda key, left, right: released(fn)(key, left, right)
+
+
 def crc_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``; null ids give null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
@@ -92,7 +119,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 1 << 21):
+def pieces(offsets: np.ndarray, limit: int = 1 << 20):
     """Index ranges of whole documents of about ``limit`` bytes; a longer document stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:

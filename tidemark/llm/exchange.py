@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import released
+
 KEY_BITS = 48
 PARCELS = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 ANSWERS = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("codes", pa.binary()), ("top", pa.int32())])
@@ -67,7 +69,7 @@ def answer(sent: DataFrame, count: Callable[[np.ndarray, list[bytes]], np.ndarra
         top = pa.array(np.full(len(back), codes.max(initial=0)), pa.int32())
         return pa.Table.from_arrays([table.column("g").combine_chunks(), table.column("b").combine_chunks(), pa.array(back, pa.binary()), top], schema=ANSWERS)
 
-    return sent.groupBy("b").applyInArrow(run, ANSWER_TYPE)
+    return sent.groupBy("b").applyInArrow(lambda t: released(run)(t), ANSWER_TYPE)
 
 
 def codes_of(table: pa.Table, dtype) -> np.ndarray:

@@ -20,6 +20,8 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Labelled documents sampled for each language, and code points taken from each: the fit's bounds.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 2000
 DICT_BYTES, BLOCK_BYTES, LEVEL = 65536, 4096, 5
@@ -101,5 +103,7 @@ def classify(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text"
             for k, (name, kind) in enumerate((("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_()))):
                 table = table.append_column(name, pa.array([g[k] for g in got], kind))
             yield from table.to_batches()
+            del table, got
+            release()
 
     return docs.mapInArrow(run, schema)

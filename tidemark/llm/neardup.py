@@ -57,6 +57,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            C.release()
             sets = sets_of(batch.column(batch.schema.get_field_index("text")), words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else 0 for s in sets], pa.int64())], schema=kind
@@ -135,10 +136,10 @@ def indexed(docs: DataFrame, heads: DataFrame, n_groups: int, words: int, percen
         return pa.Table.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.int64()))]))
 
     by_g = docs.groupBy("g")
-    sent = by_g.cogroup(heads.groupBy("g")).applyInArrow(send, X.PARCEL_TYPE)
+    sent = by_g.cogroup(heads.groupBy("g")).applyInArrow(C.released2(send), X.PARCEL_TYPE)
     back = X.answer(sent, _count)
     both = back.unionByName(heads, allowMissingColumns=True)
-    return C.materialize(by_g.cogroup(both.groupBy("g")).applyInArrow(index, SETS))
+    return C.materialize(by_g.cogroup(both.groupBy("g")).applyInArrow(C.released2(index), SETS))
 
 
 def verify(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +210,7 @@ def links_of(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         to = pa.array(ids[np.maximum(tied, 0)], pa.int64(), mask=tied < 0)
         return pa.Table.from_arrays([pa.array(ids), to, pa.array(partners, pa.int64())], names=["doc_id", "b", "partners"])
 
-    found = C.materialize(met.groupBy("area", "p", "r").applyInArrow(run, "doc_id long, b long, partners long"))
+    found = C.materialize(met.groupBy("area", "p", "r").applyInArrow(lambda t: C.released(run)(t), "doc_id long, b long, partners long"))
     links = found.where("b IS NOT NULL").select(F.col("doc_id").alias("a"), "b")
     return links, found.groupBy("doc_id").agg(F.sum("partners").alias("partners"))
 

@@ -375,7 +375,7 @@ def remove(docs: DataFrame, hot: int = HOT, with_text: bool = False) -> DataFram
         key, content, _ = entries(owner, content)
         return X.parcels(table.column("g")[0].as_py(), key, n_groups, content)
 
-    found = C.materialize(X.answer(by_g.applyInArrow(send, X.PARCEL_TYPE), judge(hot)))
+    found = C.materialize(X.answer(by_g.applyInArrow(lambda t: C.released(send)(t), X.PARCEL_TYPE), judge(hot)))
     kind = pa.schema([("owner", pa.int32()), ("g", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("place", pa.int32()), ("body", pa.binary())])
 
     def pick(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -388,7 +388,7 @@ def remove(docs: DataFrame, hot: int = HOT, with_text: bool = False) -> DataFram
                 rows.append((b, g, ids[i + d], int(p.text_key[d]), a - int(p.offsets[d]), int(p.place[k]) - a, p.data[a:e].tobytes()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, kind, strict=True)], schema=kind)
 
-    opened = C.materialize(by_g.cogroup(found.groupBy("g")).applyInArrow(pick, "owner int, g int, doc_id long, text_key long, start long, place int, body binary"))
+    opened = C.materialize(by_g.cogroup(found.groupBy("g")).applyInArrow(lambda a, b: C.released(pick)(a, b), "owner int, g int, doc_id long, text_key long, start long, place int, body binary"))
     total = opened.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
     parts = max(1, -(-total // COLLECTION_BYTES))
     schema = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("codes", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("flags", pa.binary())])
@@ -409,7 +409,7 @@ def remove(docs: DataFrame, hot: int = HOT, with_text: bool = False) -> DataFram
             [table.column("g").combine_chunks(), none, pa.nulls(len(table), pa.binary()), *(table.column(c).combine_chunks() for c in ("doc_id", "text_key", "start")), flags], schema=schema
         )
 
-    solved = opened.withColumn("part", F.pmod("owner", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(solve, BACK)
+    solved = opened.withColumn("part", F.pmod("owner", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(lambda t: C.released(solve)(t), BACK)
     back = found.select("g", "b", "codes").unionByName(solved, allowMissingColumns=True)
     if (found.agg(F.max("top")).first()[0] or 0) >= HOT_OPEN:
         back = back.unionByName(_hot_windows(by_g, found, n_groups).select("g", "b", "codes"), allowMissingColumns=True)
@@ -453,7 +453,7 @@ def remove(docs: DataFrame, hot: int = HOT, with_text: bool = False) -> DataFram
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(out_kind), out_kind, strict=True)], schema=out_kind)
 
     out_type = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return by_g.cogroup(back.groupBy("g")).applyInArrow(finish, out_type)
+    return by_g.cogroup(back.groupBy("g")).applyInArrow(lambda a, b: C.released(finish)(a, b), out_type)
 
 
 def _hot_numbers(held) -> list[list[tuple[int, np.ndarray]]]:
