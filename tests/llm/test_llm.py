@@ -315,6 +315,20 @@ def test_lm_probabilities_sum_to_one_and_windows_are_causal(vocabulary):
     assert set(covered.values()) == {1} and len(covered) == 183
 
 
+def test_lm_learns_from_short_texts_and_ends(vocabulary):
+    tok = pytest.importorskip("public_tokenizers")
+    sub = lm.Subwords(str(tok.path("byte_bpe_50k.tiktoken")), tok.PATTERN)
+    texts = ["one two three four", "five six seven"] * 40
+    ids, size = lm.sequences(lm.Words(pa.array(texts)), sub)
+    assert size.max() < lm.WIDTH
+    at, width = lm.spans(np.array([1, 31, 32, 33, 100]))
+    assert sorted(i for a, w in zip(at.tolist(), width.tolist(), strict=True) for i in range(a, a + w)) == list(range(197))
+    counts = np.bincount(ids, minlength=sub.size).astype(float)
+    before, after = (lm.train(texts, counts, sub, steps=n).log10(ids, size, sub.end) for n in (0, 150))
+    ends = np.cumsum(size) - 1
+    assert after[ends].mean() > before[ends].mean() + 0.3 and after[ends].mean() > -0.2 and after.mean() > -0.5
+
+
 # op8
 
 
