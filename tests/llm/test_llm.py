@@ -321,12 +321,45 @@ def test_lm_learns_from_short_texts_and_ends(vocabulary):
     texts = ["one two three four", "five six seven"] * 40
     ids, size = lm.sequences(lm.Words(pa.array(texts)), sub)
     assert size.max() < lm.WIDTH
-    at, width = lm.spans(np.array([1, 31, 32, 33, 100]))
-    assert sorted(i for a, w in zip(at.tolist(), width.tolist(), strict=True) for i in range(a, a + w)) == list(range(197))
     counts = np.bincount(ids, minlength=sub.size).astype(float)
     before, after = (lm.train(texts, counts, sub, steps=n).log10(ids, size, sub.end) for n in (0, 150))
     ends = np.cumsum(size) - 1
     assert after[ends].mean() > before[ends].mean() + 0.3 and after[ends].mean() > -0.2 and after.mean() > -0.5
+    at, width = lm.spans(np.array([1, 31, 32, 33, 100]))
+    assert sorted(i for a, w in zip(at.tolist(), width.tolist(), strict=True) for i in range(a, a + w)) == list(range(197))
+
+
+def test_lm_learns_from_documents_outside_the_sample(spark, vocabulary, monkeypatch):
+    tok = pytest.importorskip("public_tokenizers")
+    path, pattern = str(tok.path("byte_bpe_50k.tiktoken")), tok.PATTERN
+    sub = lm.Subwords(path, pattern)
+    here, away = "red green blue", "one two three four"
+    rows = [(k, here if k < 60 else away if k < 500 else "") for k in range(600)]
+    rows += [(1000, "one two three four"), (1001, "four three two one")]
+    monkeypatch.setattr(lm, "sample", lambda docs, n: [here] * 60)
+    kept = {}
+    real = lm.train
+    monkeypatch.setattr(lm, "train", lambda texts, counts, subwords: kept.setdefault("m", (real(texts, counts, subwords, steps=20), counts))[0])
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs_of(spark, rows), F.col("doc_id") >= 1000, path, pattern).collect()}
+    assert got[1000] > got[1001] + 2
+    assert abs(got[1000] - got[60]) < 1e-6
+    # The scores are those of the corpus's own pairs.
+    texts = [t for d, t in rows if d < 1000]
+    ids, size = lm.sequences(lm.Words(pa.array(texts)), sub)
+    pair = collections.Counter()
+    ends = np.cumsum(size)
+    for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True):
+        pair.update(zip([sub.end, *ids[a : b - 1].tolist()], ids[a:b].tolist(), strict=True))
+    model, counts = kept["m"]
+    flat, n = lm.sequences(lm.Words(pa.array([t for _, t in rows[-2:]])), sub)
+    before = flat.copy()
+    before[1:] = flat[:-1]
+    before[np.cumsum(n) - n] = sub.end
+    first = collections.Counter(a for a, b in pair.elements())
+    assert all(first[k] == counts[k] for k in range(sub.size))
+    p = [lm.MIX * 10.0**x + (1 - lm.MIX) * (pair[a, b] + lm.PRIOR * 10.0**x) / (first[a] + lm.PRIOR) for a, b, x in zip(before.tolist(), flat.tolist(), model.log10(flat, n, sub.end).tolist(), strict=True)]
+    want = np.add.reduceat(np.log10(p), np.cumsum(n) - n)
+    assert np.allclose(want, [got[1000], got[1001]], atol=1e-4)
 
 
 # op8
