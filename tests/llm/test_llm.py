@@ -227,6 +227,12 @@ def test_message_passing_agrees_with_enumeration_on_trees():
 # op5
 
 
+def test_language_ties_of_short_texts_are_rejected():
+    known = langid.Classifier([("aa", b"the cat sat on the mat "), ("bb", b"le chat est sur le tapis ")])
+    assert known.classify("qzxj vwkq") == ("aa", 0.0, True)
+    assert known.classify("the cat sat on")[::2] == ("aa", False) and known.classify("le chat est sur")[::2] == ("bb", False)
+
+
 def test_languages_are_told_apart_and_mixtures_rejected(spark):
     rng = random.Random(0)
     sound = {"aa": "ka lo mi ne pu".split(), "bb": "schra ghee thwo vrix zunt".split()}

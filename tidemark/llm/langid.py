@@ -3,7 +3,8 @@
 One zstandard raw-content dictionary is cut for each language from a bounded sample of labelled
 documents. A text, reduced to lower-case letters and single blanks, is compressed whole, in blocks,
 with every dictionary; the smallest total wins. Equal totals go to the language with more training
-documents. A narrow margin between the two smallest totals is a rejection.
+documents. A narrow margin between the two smallest totals is a rejection; in texts of under
+MIN_EVIDENCE bytes of letters, where one byte is more than the margin, only equal totals are.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every text if no
 document is labelled. Languages are the non-null labels. Repeated rows and extra columns are harmless.
@@ -25,7 +26,7 @@ from .common import release
 #: Labelled documents sampled for each language, and code points taken from each: the fit's bounds.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 2000
 DICT_BYTES, BLOCK_BYTES, LEVEL = 65536, 4096, 5
-#: Margins under this are narrow; below MIN_EVIDENCE bytes of letters the coder's steps of a byte hide the margin and it does not count.
+#: Margins under this are narrow; below MIN_EVIDENCE bytes of letters the coder's steps of a byte hide the margin and only a tie counts.
 NARROW, MIN_EVIDENCE = 0.01, 64
 UND = "und"
 _OTHER = re.compile(rb"[^a-z\x80-\xff]+")
@@ -86,7 +87,7 @@ class Classifier:
             return self.langs[0], 1.0, False
         second = min(s for i, s in enumerate(sizes) if i != best)
         margin = (second - sizes[best]) / second
-        return self.langs[best], margin, margin < NARROW and len(raw) >= MIN_EVIDENCE
+        return self.langs[best], margin, margin < NARROW and (len(raw) >= MIN_EVIDENCE or second == sizes[best])
 
 
 def classify(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
