@@ -57,9 +57,12 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A folder of our own is used only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, else the context's. A folder of our own is used
+    only on one machine, where none is configured."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = _OWN.setdefault("dir", "") or _OWN.update(dir="file://" + tempfile.mkdtemp(prefix="tidemark-")) or _OWN["dir"]
     return path
 
@@ -152,7 +155,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] = sum of (byte + 1) * BASE**k for i <= k < j."""
+    """P with P[j] - P[i] = sum of (x[k] + 1) * BASE**k for i <= k < j, of bytes or of words' hashes."""
     up, _ = powers(len(data))
     out = np.empty(len(data) + 1, U)
     out[0] = 0

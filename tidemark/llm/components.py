@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node that a link (a, b) names.
 
     Each round rewrites the links so that nodes point at ever smaller ones until only stars are left; it
     is written to the shared folder, so lineage stays short. Minima are partial aggregates, and a hub's
-    links meet its minimum in a join that can be split.
+    links meet its minimum in a join that can be split. Rounds go on until one changes nothing; nodes only
+    ever point at smaller ones, so that comes.
     """
     a, b = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = materialize(links.where("a <> b").select(a, b).distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now[0] == 0 or tuple(now) == state:
             break

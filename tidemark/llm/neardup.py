@@ -8,8 +8,14 @@ indexed instead: a prefix suffices once (rare tokens) + (frequent tokens - 1) re
 rare token or some pair of frequent ones is common. Tokens that no other class holds index nothing,
 and a set with more than q of these has no partner at all.
 
-Classes that share index entries, directly or through others, are neighbourhoods; all their pairs are
-verified on whole sets, in blocks of bounded size. Links become components by star contraction.
+Index entries are gathered under their smallest member, so what meets there may be linked with that one
+set; chains of sets that only neighbours share stay apart. Pairs that share an entry and are near enough
+in size are verified on whole sets, each pair once, hot entries in blocks of bounded size. Verified links
+become components by star contraction.
+
+Pairs of frequent tokens grow with the square of a set's size. Sets of over LONG tokens index single
+frequent tokens instead; sets that may have partners on both sides of LONG index both ways, so no pair
+is lost.
 
 Defined cases: null, empty and blank texts have no tokens and are linked with nothing; texts with fewer
 words than a shingle have one token, the whole sequence; repeated rows are copies of each other; rows
@@ -18,6 +24,8 @@ without an id have none to be found by, and keep a null component. Extra columns
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +37,12 @@ from .components import components
 
 #: Tokens in more classes than this are the frequent ones, indexed in pairs.
 FREQUENT = 1024
-#: Sets of one block of a neighbourhood, in tokens.
-BLOCK_TOKENS = 1 << 20
+#: Sets of more tokens than this index frequent tokens one by one: their pairs would be too many.
+LONG = 400
+#: Bounds of one block of an area, and of the sets one task holds in bytes.
+BLOCK_TOKENS, BLOCK_ROWS, PART_BYTES = 1 << 18, 256, 4 << 20
+#: Columns of an incidence matrix at a time.
+COLUMNS = 4096
 SETS = "doc_id long, n long, tokens binary, keys array<long>"
 
 
@@ -46,24 +58,24 @@ def sets_of(column, words: int) -> list[np.ndarray]:
     return out
 
 
-def signature(tokens: np.ndarray) -> int:
-    """One number for a set: a sum of mixed tokens, which no order changes."""
-    return int(np.bitwise_xor(C.mix(tokens * C.U(3)).sum(dtype=C.U), C.mix(tokens + C.U(1)).sum(dtype=C.U) << C.U(1)).view(np.int64))
+def signature(tokens: np.ndarray) -> bytes:
+    """128 bits for a set: two sums of mixed tokens, which no order changes."""
+    return np.array([C.mix(tokens * C.U(3)).sum(dtype=C.U), C.mix(tokens + C.U(1)).sum(dtype=C.U)], "<u8").tobytes()
 
 
 def describe(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, g, n, sig of every document of grouped()."""
-    kind = pa.schema([("doc_id", pa.int64()), ("g", pa.int32()), ("n", pa.int64()), ("sig", pa.int64())])
+    kind = pa.schema([("doc_id", pa.int64()), ("g", pa.int32()), ("n", pa.int64()), ("sig", pa.binary())])
 
     def run(batches):
         for batch in batches:
             C.release()
             sets = sets_of(batch.column(batch.schema.get_field_index("text")), words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else 0 for s in sets], pa.int64())], schema=kind
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary())], schema=kind
             )
 
-    return docs.select("doc_id", "text", "g").mapInArrow(run, "doc_id long, g int, n long, sig long")
+    return docs.select("doc_id", "text", "g").mapInArrow(run, "doc_id long, g int, n long, sig binary")
 
 
 def _chosen(docs: pa.Table, heads: pa.Table, words: int) -> tuple[list[int], list[np.ndarray]]:
@@ -94,22 +106,28 @@ def allowed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def index_keys(tokens: np.ndarray, code: np.ndarray, percent: int, frequent: int) -> np.ndarray | None:
+def index_keys(tokens: np.ndarray, code: np.ndarray, percent: int, frequent: int, long: int | None = None) -> np.ndarray | None:
     """Index entries of a set; None if no set can be its partner."""
-    q = allowed(len(tokens), percent)
+    n, long = len(tokens), LONG if long is None else long
+    q = allowed(n, percent)
     if (code == 1).sum() > q:
         return None
     order = np.lexsort((tokens, code))
     often = code[order] > _code(np.array([frequent]))[0]
-    worth = np.cumsum(~often) + np.maximum(np.cumsum(often) - 1, 0)
-    end = np.searchsorted(worth, q + 1) + 1
-    prefix, often = tokens[order[:end]], often[:end]
-    single = prefix[~often & (code[order[:end]] > 1)]
-    a, b = np.triu_indices(int(often.sum()), 1)
-    pairs = prefix[often]
-    # In a fixed order, whatever the prefix: the pair's smaller token comes first.
-    low, high = np.minimum(pairs[a], pairs[b]), np.maximum(pairs[a], pairs[b])
-    return np.concatenate([single, C.mix(low * C.U(5) + C.mix(high))]).view(np.int64)
+    found = []
+    if 100 * n > percent * long:  # a partner may be long: the first q + 1 tokens, one by one
+        first = order[: q + 1]
+        found.append(tokens[first[code[first] > 1]])
+    if percent * n <= 100 * long:  # a partner may be short: rare ones, and pairs of frequent ones
+        worth = np.cumsum(~often) + np.maximum(np.cumsum(often) - 1, 0)
+        end = np.searchsorted(worth, q + 1) + 1
+        prefix, frequent_ones = tokens[order[:end]], often[:end]
+        a, b = np.triu_indices(int(frequent_ones.sum()), 1)
+        pairs = prefix[frequent_ones]
+        # In a fixed order, whatever the prefix: the pair's smaller token comes first.
+        low, high = np.minimum(pairs[a], pairs[b]), np.maximum(pairs[a], pairs[b])
+        found += [prefix[~frequent_ones & (code[order[:end]] > 1)], C.mix(low * C.U(5) + C.mix(high))]
+    return np.unique(np.concatenate(found)).view(np.int64)
 
 
 def indexed(docs: DataFrame, heads: DataFrame, n_groups: int, words: int, percent: int, frequent: int) -> DataFrame:
@@ -142,77 +160,145 @@ def indexed(docs: DataFrame, heads: DataFrame, n_groups: int, words: int, percen
     return C.materialize(by_g.cogroup(both.groupBy("g")).applyInArrow(C.released2(index), SETS))
 
 
-def verify(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of sets, of a with b or among a, whose overlap is at least percent / 100 of their union."""
-    right = a if b is None else b
+def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Whether a[i] and b[j] have a number in common, for all i, j: products of incidence matrices, some columns at a time."""
+    size = np.array([len(x) for x in a] + [len(x) for x in b])
+    column = np.unique(np.concatenate([*a, *b]), return_inverse=True)[1] if size.sum() else np.zeros(0, int)
+    row = np.repeat(np.arange(len(size)), size)
+    out = np.zeros((len(a), len(b)), bool)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (lo, lo + COLUMNS))
+        part = np.zeros((len(size), COLUMNS), np.float32)
+        part[row[i:j], column[i:j] - lo] = 1
+        out |= part[: len(a)] @ part[len(a) :].T > 0
+    return out
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, common tokens) of the wanted pairs of sets; the work is that of the wanted pairs alone."""
     size = np.array([len(s) for s in right])
-    vocab = np.unique(np.concatenate(right))
-    flat = np.searchsorted(vocab, np.concatenate(right))
-    at = np.concatenate([[0], np.cumsum(size)])
-    mark = np.zeros(len(vocab) + 1, np.int32)
-    left_out, right_out = [], []
-    for i, s in enumerate(a):
-        spot = np.minimum(np.searchsorted(vocab, s), len(vocab) - 1)
-        spot = spot[vocab[spot] == s]
-        lo = i + 1 if b is None else 0
-        if lo >= len(right):
-            break
+    vocab, flat = np.unique(np.concatenate(right), return_inverse=True)
+    at = np.cumsum(size) - size
+    mark = np.zeros(len(vocab), np.int32)
+    out = []
+    for i in np.flatnonzero(wanted.any(1)).tolist():
+        spot = np.minimum(np.searchsorted(vocab, left[i]), len(vocab) - 1)
+        spot = spot[vocab[spot] == left[i]]
+        j = np.flatnonzero(wanted[i])
+        start = np.cumsum(size[j]) - size[j]
         mark[spot] = 1
-        common = np.add.reduceat(mark[flat[at[lo] :]], at[lo:-1] - at[lo])
+        common = np.add.reduceat(mark[flat[np.repeat(at[j] - start, size[j]) + np.arange(size[j].sum())]], start)
         mark[spot] = 0
-        hit = np.flatnonzero(100 * common >= percent * (len(s) + size[lo:] - common)) + lo
-        left_out.append(np.full(len(hit), i))
-        right_out.append(hit)
-    return np.concatenate(left_out or [np.zeros(0, int)]), np.concatenate(right_out or [np.zeros(0, int)])
+        out.append((np.full(len(j), i), j, common))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
+
+
+@dataclass
+class Members:
+    """Sets of one block of an area: tokens, index entries, and the areas each is in."""
+
+    tokens: list[np.ndarray]
+    keys: list[np.ndarray]
+    areas: list[np.ndarray]
+
+
+def verify(area: int, a: Members, b: Members | None, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links (i, j) of a with b, or among a, that belong to this area, and how many pairs were compared.
+
+    Compared are pairs that share an index entry, are near enough in size, and meet in no smaller area.
+    """
+    right = b or a
+    n, m = (np.array([len(t) for t in x.tokens]) for x in (a, right))
+    wanted = 100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m)
+    if b is None:
+        wanted &= np.triu(np.ones(wanted.shape, bool), 1)
+    wanted &= shared(a.keys, right.keys)
+    wanted &= ~shared([x[x < area] for x in a.areas], [x[x < area] for x in right.areas])
+    i, j, common = overlaps(a.tokens, right.tokens, wanted)
+    hit = 100 * common >= percent * (n[i] + m[j] - common)
+    return i[hit], j[hit], len(i)
+
+
+def _lists(column) -> list[np.ndarray]:
+    column = column.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    at = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    return [values[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def links_of(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links of a spanning forest, and (doc_id, partners) counts, from SETS."""
-    entry = sets.select("doc_id", F.explode("keys").alias("key"))
-    star = entry.groupBy("key").agg(F.min("doc_id").alias("a"))
-    near = components(entry.join(star, "key").select("a", F.col("doc_id").alias("b")))
-    near = near.select(F.col("node").alias("doc_id"), F.col("component").alias("area"))
-    held = near.join(sets.select("doc_id", "n", "tokens"), "doc_id")
-    size = held.groupBy("area").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("blocks"))
-    held = held.join(size, "area").withColumn("x", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    """Links that tie the linked sets, and (doc_id, partners) counts, from SETS.
+
+    An index entry belongs to the area of its smallest member, so an area holds what may be linked with
+    one set, never what is only reached through others. A set goes to each of its areas; a pair is
+    compared in the smallest area that has both.
+    """
+    entry = sets.select("doc_id", "n", F.explode("keys").alias("key"))
+    star = entry.groupBy("key").agg(F.min("doc_id").alias("area"), F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
+    star = star.where((F.col("k") > 1) & ~((F.col("k") == 2) & (100 * F.col("low") < percent * F.col("high")))).select("key", "area")
+    own = entry.join(star, "key").groupBy("doc_id").agg(F.collect_set("area").alias("areas"), F.collect_list("key").alias("shared_keys"))
+    held = C.materialize(own.join(sets.select("doc_id", "n", "tokens"), "doc_id"))
+    member = held.select("doc_id", "n", "tokens", "shared_keys", "areas", F.explode("areas").alias("area"))
+    blocks = F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)), F.ceil(F.count("*") / F.lit(BLOCK_ROWS))).cast("int")
+    size = C.materialize(member.groupBy("area").agg(F.count("*").alias("members"), F.sum("n").alias("n"), blocks.alias("blocks")).where("members > 1"))
+    total = size.agg(F.sum(F.col("n") * F.col("blocks") * 16)).first()[0] or 0
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART_BYTES))
     # Block x meets every block y: a small area is one block, so its sets travel once.
-    met = held.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("area", "doc_id", "tokens", "x", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("r"))
+    met = member.drop("n").join(size.select("area", "blocks"), "area").withColumn("x", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    met = met.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("area", "doc_id", "tokens", "shared_keys", "areas", "x", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("r"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("area", "p", "r"), F.lit(parts)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("doc_id").to_pylist(), np.int64)
-        sets_ = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
-        block = np.array(table.column("x").to_pylist())
-        first, second = np.flatnonzero(block == table.column("p")[0].as_py()), np.flatnonzero(block == table.column("r")[0].as_py())
-        if table.column("p")[0] == table.column("r")[0]:
-            i, j = verify([sets_[k] for k in first], None, percent)
-            i, j = first[i], first[j]
-        elif len(first) and len(second):
-            i, j = verify([sets_[k] for k in first], [sets_[k] for k in second], percent)
-            i, j = first[i], second[j]
-        else:
-            i = j = np.zeros(0, int)
-        partners = np.bincount(np.concatenate([i, j]), minlength=len(ids))
-        up = list(range(len(ids)))
-
-        def root(k: int) -> int:
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
-        tied = np.full(len(ids), -1)
-        for s, t in zip(i.tolist(), j.tolist(), strict=True):
-            s, t = root(s), root(t)
-            if s != t:
-                up[max(s, t)] = min(s, t)
-                tied[max(s, t)] = min(s, t)
-        to = pa.array(ids[np.maximum(tied, 0)], pa.int64(), mask=tied < 0)
-        return pa.Table.from_arrays([pa.array(ids), to, pa.array(partners, pa.int64())], names=["doc_id", "b", "partners"])
-
-    found = C.materialize(met.groupBy("area", "p", "r").applyInArrow(lambda t: C.released(run)(t), "doc_id long, b long, partners long"))
-    links = found.where("b IS NOT NULL").select(F.col("doc_id").alias("a"), "b")
-    return links, found.groupBy("doc_id").agg(F.sum("partners").alias("partners"))
+        ids, area, x, p, r = (table.column(c).to_numpy() for c in ("doc_id", "area", "x", "p", "r"))
+        tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+        keys, areas = _lists(table.column("shared_keys")), _lists(table.column("areas"))
+        order = np.lexsort((ids, r, p, area))
+        new = np.flatnonzero(np.any([np.diff(c[order]) != 0 for c in (area, p, r)], axis=0)) + 1
+        out_id, out_b, out_n = [], [], []
+        for some in np.split(order, new):
+            pick = lambda s: Members([tokens[k] for k in s], [keys[k] for k in s], [areas[k] for k in s])
+            k = some[0]
+            first, second = some[x[some] == p[k]], some[x[some] == r[k]]
+            if not len(first) or not len(second):
+                continue
+            i, j, _ = verify(int(area[k]), pick(first), None if p[k] == r[k] else pick(second), percent)
+            if len(i):
+                i, j = ids[first[i]], ids[second[j]]
+                one, n = np.unique(np.concatenate([i, j]), return_counts=True)
+                tied = forest(i, j)
+                out_id += [one, tied[0]]
+                out_b += [np.full(len(one), -1), tied[1]]
+                out_n += [n, np.full(len(tied[0]), 0)]
+        none = [np.zeros(0, np.int64)]
+        b, n = np.concatenate(out_b or none), np.concatenate(out_n or none)
+        return pa.Table.from_arrays([pa.array(np.concatenate(out_id or none)), pa.array(b, pa.int64(), mask=n > 0), pa.array(n, pa.int64())], names=["doc_id", "b", "partners"])
+
+    found = C.materialize(met.groupBy("part").applyInArrow(lambda t: C.released(run)(t), "doc_id long, b long, partners long"))
+    links = found.where("partners = 0").select(F.col("doc_id").alias("a"), "b")
+    return links, found.where("partners > 0").groupBy("doc_id").agg(F.sum("partners").alias("partners"))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links, one fewer than the nodes of each component, that tie what (a, b) ties."""
+    up: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while up.setdefault(k, k) != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    out = []
+    for s, t in zip(a.tolist(), b.tolist(), strict=True):
+        s, t = root(s), root(t)
+        if s != t:
+            up[max(s, t)] = min(s, t)
+            out.append((max(s, t), min(s, t)))
+    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85, frequent: int = FREQUENT) -> DataFrame:
