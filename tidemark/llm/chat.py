@@ -1,21 +1,26 @@
 """Chat formatting by schema fingerprints, with DataFrame functions only.
 
-A table's nested field paths, those any layout knows, are sorted and hashed; the hash selects a
-declarative mapping that turns the rows into canonical turns. Rows of JSON text are fingerprinted one
-by one, so one column may mix layouts.
+A table's own nested field paths, less those that no layout names, are sorted and hashed; this fingerprint
+is looked up among the declared ones, and what it is declared for is the mapping that turns the rows into
+canonical turns. A layout declares one fingerprint for each choice of its optional paths. A fingerprint
+that nobody declared fits a layout if it holds all its required paths: if it is the only one, it is taken,
+otherwise the table is refused, as some of its fields would be lost. Rows of JSON text are fingerprinted
+one by one, from their own keys, so one column may mix layouts; refused rows give null.
 
 Canonical form: a struct column ``turns``: array<struct<role, text>>. The template writes
 ``<|start|>role<|sep|>text<|end|>`` for every turn. Control strings inside a role or text get a
 backslash after their first character and backslashes are doubled, so the output reads back exactly.
 
 Defined cases: null role or text is empty; rows with no turns give an empty output; repeated rows are
-turns of their own, ordered by turn, role and text; extra columns do not take part, whatever their
-names, unless they complete another layout (the layout with more fields wins).
+turns of their own, ordered by turn, role and text; a null key is a conversation like any other; texts of
+any length are formatted whole (one conversation's output must fit a row); an empty table gives no rows;
+extra columns do not take part, whatever their names, unless together they are another layout.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +68,28 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
 
 
+def declared(layouts: tuple[Layout, ...]) -> list[tuple[str, list[str]]]:
+    """(layout, paths) of every shape that has a fingerprint: all required paths with any of the optional ones."""
+    out = []
+    for x in layouts:
+        required = [p for p in x.paths if p not in x.optional]
+        out += [(x.name, [*required, *some]) for n in range(len(x.optional) + 1) for some in combinations(x.optional, n)]
+    return out
+
+
+def layout_name(paths: Column, layouts: tuple[Layout, ...]) -> Column:
+    """The layout for field paths by their fingerprint, else the only one that fits, else null."""
+    known = F.array_intersect(paths, F.array(*map(F.lit, sorted({p for x in layouts for p in x.paths}))))
+    shapes = [c for name, some in declared(layouts) for c in (fingerprint(F.array(*map(F.lit, some))), F.lit(name))]
+    by_print = F.try_element_at(F.create_map(*shapes), fingerprint(known))
+    fits = []
+    for x in layouts:
+        required = F.array(*[F.lit(p) for p in x.paths if p not in x.optional])
+        fits.append(F.when(F.size(F.array_except(required, known)) == 0, F.lit(x.name)))
+    fits = F.array_compact(F.array(*fits))
+    return F.coalesce(by_print, F.when(F.size(fits) == 1, fits[0]))
+
+
 def field_paths(schema: T.StructType, prefix: str = "") -> list[str]:
     """Every nested path, lower case: ``a``, ``a.b`` in a struct, ``a[].b`` in an array."""
     out = []
@@ -78,16 +105,13 @@ def field_paths(schema: T.StructType, prefix: str = "") -> list[str]:
 
 
 def select_layout(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout:
-    """The layout whose paths, hashed, equal the hash of those of the table's paths that it could use."""
-    there = set(field_paths(df.schema))
-    spark = df.sparkSession
-    usable = sorted((x for x in layouts if set(x.paths) <= there), key=lambda x: (-len(x.paths), x.name))
-    if not usable:
-        raise ValueError(f"no layout fits the fields {sorted(there)}")
-    known = spark.createDataFrame([(x.name, list(x.paths)) for x in layouts], "name string, paths array<string>")
-    asked = sorted(there & set(usable[0].paths))
-    hit = known.select("name", fingerprint(F.col("paths")).alias("k")).where(F.col("k") == fingerprint(F.array(*map(F.lit, asked)))).first()
-    return next(x for x in layouts if x.name == hit["name"])
+    """The layout that the fingerprint of the table's fields is declared for; see above for others."""
+    there = sorted(set(field_paths(df.schema)))
+    paths = F.array(*map(F.lit, there)) if there else F.array().cast("array<string>")
+    name = df.sparkSession.range(1).select(layout_name(paths, layouts).alias("name")).first()["name"]
+    if name is None:
+        raise ValueError(f"no layout, or more than one, fits the fields {there}")
+    return next(x for x in layouts if x.name == name)
 
 
 def _named(role: Column, names: dict[str, str]) -> Column:
@@ -101,13 +125,15 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(role.alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
-def _from_record(layout: Layout, get) -> Column:
-    """turns of one record; get(name) is the record's field."""
+def _from_record(layout: Layout, get, has=lambda name: True) -> Column:
+    """turns of one record; get(name) is the record's field, has(name) whether there is one."""
     if layout.items:
         turns = F.transform(get(layout.items), lambda m: _turn(_named(m[layout.role], layout.roles), m[layout.text]))
         return F.coalesce(turns, F.array().cast(TURNS))
     parts = []
     for role, name in layout.turns:
+        if not has(name):
+            continue
         one = F.array(_turn(F.lit(role), get(name)))
         parts.append(F.when(F.coalesce(get(name), F.lit("")) == "", F.array().cast(TURNS)).otherwise(one) if name in layout.optional else one)
     return F.concat(*parts)
@@ -117,33 +143,40 @@ def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Dat
     """Adds ``turns``; a table with one row for each turn becomes one row for each key."""
     layout = select_layout(df, layouts)
     if layout.by is None:
-        return df.withColumn("turns", _from_record(layout, F.col))
+        names = {c.lower() for c in df.columns}
+        return df.withColumn("turns", _from_record(layout, F.col, names.__contains__))
     turn = F.struct(F.col(layout.order).alias("at"), _named(F.col(layout.role), layout.roles).alias("role"), F.coalesce(F.col(layout.text), F.lit("")).alias("text"))
     rows = df.groupBy(F.col(layout.by)).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     return rows.withColumn("turns", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))))
 
 
+def _prefixed(mark: str):
+    return lambda key: F.concat(F.lit(mark), key)
+
+
+def json_paths(column: Column, layouts: tuple[Layout, ...]) -> Column:
+    """Field paths of JSON text, lower case: its own keys, and the keys of the elements of arrays that layouts name."""
+    none = F.array().cast("array<string>")
+    out = [F.coalesce(F.json_object_keys(column), none)]
+    for items in sorted({x.items for x in layouts if x.items}):
+        elements = F.from_json(column, f"`{items}` array<string>")[items]
+        keys = F.flatten(F.transform(F.filter(elements, lambda e: e.isNotNull()), lambda e: F.coalesce(F.json_object_keys(e), none)))
+        out.append(F.transform(F.coalesce(keys, none), _prefixed(f"{items}[].")))
+    return F.transform(F.concat(*out), F.lower)
+
+
 def canonical_json(df: DataFrame, column: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds ``layout`` and ``turns`` for rows of JSON text in mixed layouts; text that no layout fits gives null."""
-    by = [x for x in layouts if x.by is None]
-    doc = F.try_parse_json(F.col(column))
-    shape = F.regexp_replace(F.lower(F.schema_of_variant(doc)), r"\s", "")
-    keys = F.transform(F.json_object_keys(F.col(column)), F.lower)
-    inner = F.regexp_extract_all(shape, F.lit(r"(\w+):array<object<([^<>]*)>>"), 0)
-    nested = F.flatten(F.transform(inner, lambda s: F.transform(F.regexp_extract_all(s, F.lit(r"[<,](\w+):"), 1), lambda k: F.concat(F.regexp_extract(s, r"^(\w+):", 1), F.lit("[]."), k))))
-    there = F.concat(F.coalesce(keys, F.array().cast("array<string>")), F.coalesce(nested, F.array().cast("array<string>")))
-    out = df.withColumn("_paths", there)
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for x in sorted(by, key=lambda x: (len(x.paths), x.name)):
-        known = F.array(*map(F.lit, sorted(x.paths)))
-        fits = fingerprint(F.array_intersect(F.col("_paths"), known)) == fingerprint(known)
+    """Adds ``layout`` and ``turns`` for rows of JSON text in mixed layouts; text that no layout, or more than one, fits gives null."""
+    by = tuple(x for x in layouts if x.by is None)
+    out = df.withColumn("layout", layout_name(json_paths(F.col(column), by), by))
+    turns = F.lit(None).cast(TURNS)
+    for x in by:
         if x.items:
-            record = F.from_json(F.col(column), f"{x.items} array<struct<{x.role}:string,`{x.text}`:string>>")
+            record = F.from_json(F.col(column), f"`{x.items}` array<struct<`{x.role}`:string,`{x.text}`:string>>")
         else:
-            record = F.from_json(F.col(column), ", ".join(f"{k} string" for _, k in x.turns))
-        name = F.when(fits, F.lit(x.name)).otherwise(name)
-        turns = F.when(fits, _from_record(x, lambda k, r=record: r[k])).otherwise(turns)
-    return out.withColumn("layout", name).withColumn("turns", turns).drop("_paths")
+            record = F.from_json(F.col(column), ", ".join(f"`{k}` string" for _, k in x.turns))
+        turns = F.when(F.col("layout") == x.name, _from_record(x, lambda k, r=record: r[k])).otherwise(turns)
+    return out.withColumn("turns", turns)
 
 
 def escape(text: Column) -> Column:
