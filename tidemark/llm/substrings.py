@@ -10,8 +10,7 @@ block; no two windows of a block are equal. Three steps:
    one of them single, is open: one of each of its blocks goes on.
 2. Open blocks are collected by owner. The collection's Burrows-Wheeler transform and longest common
    prefixes are built column by column from the ends: each round inserts one symbol of every text and
-   rewrites the sorted suffixes in sequence, in files where they are large. Symbols are words of
-   eight bytes; each block gives eight texts, one for each alignment to its owner, so any window is a
+   rewrites the files of the sorted suffixes in sequence. Symbols are words of eight bytes; each block gives eight texts, one for each alignment to its owner, so any window is a
    run of whole symbols. Neighbours with a common prefix of LENGTH bytes or more are repeated.
 3. Documents mark their repeated windows and drop the bytes under them.
 
@@ -20,13 +19,13 @@ surroundings) would be too much for one task: its windows are hashed one by one
 by the same exchange as step 1.
 
 Defined cases: null texts are empty; texts shorter than LENGTH keep all; repeated rows are copies;
-overlaps within a text count; texts of any length are worked whole; extra columns are dropped.
+overlaps within a text count; of equal strings none is first, all go; texts of any length are worked whole;
+an empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -40,9 +39,7 @@ from . import exchange as X
 
 LENGTH, WORD, SYMBOL = 200, 32, 8
 WIDTH = LENGTH - WORD + 1
-HOT = 30000
-#: Sorted suffixes of a collection are kept in files beyond this many bytes.
-IN_MEMORY = 256 << 20
+HOT = 8192
 COLLECTION_BYTES, COLUMN_BYTES = 4 << 20, 1 << 18
 PLACE_BITS = 25
 #: Codes of a block: single; repeated; open; repeated and sent on for its equals; the last two under a hot owner.
@@ -174,36 +171,45 @@ def twice(keys: np.ndarray, extras: list[bytes]) -> np.ndarray:
     return out
 
 
-class Sorted:
-    """The sorted suffixes of a collection, column by column, in memory or in files.
+class Columns:
+    """The sorted suffixes of a collection in files, one a column: each round reads every column once, in
+    sequence, and writes it once.
 
-    ``key`` holds the first symbol and the place of the rest, ``lcp`` the common prefix with the suffix
-    before, ``at`` where the suffix starts. The empty suffixes, one for each text, come before all and
-    are not stored; they differ from each other.
+    ``bwt``: the symbol before each suffix, 0 where none is inserted yet; the first entries are those of the
+    empty suffixes, one for each text. The other columns leave these out: ``key`` is a suffix's first symbol
+    and the place of the rest (where the transform's entry leads), ``lcp`` the common prefix with the
+    suffix before, ``at`` where the suffix starts. The files have no name and are private to their task.
     """
 
-    FIELDS = {"key": np.int64, "lcp": np.int16, "at": np.int32}
+    FIELDS = {"bwt": np.int32, "key": np.int64, "lcp": np.int16, "at": np.int32}
 
-    def __init__(self, external: bool):
-        self.folder = tempfile.TemporaryDirectory() if external else None
-        self.held: dict[str, np.ndarray] = {}
-        for name, kind in self.FIELDS.items():
-            self.put(name, np.zeros(0, kind))
+    def __init__(self, n_texts: int):
+        self.files = {name: tempfile.TemporaryFile(buffering=0) for name in self.FIELDS}
+        self.size = dict.fromkeys(self.FIELDS, 0)
+        self.write("bwt", np.zeros(n_texts, np.int32))
 
-    def get(self, name: str) -> np.ndarray:
-        if self.folder:
-            return np.fromfile(os.path.join(self.folder.name, name), self.FIELDS[name])
-        return self.held[name]
+    def read(self, name: str) -> np.ndarray:
+        out = np.empty(self.size[name], self.FIELDS[name])
+        self.files[name].seek(0)
+        left = memoryview(out.view(np.uint8))
+        while len(left):
+            left = left[self.files[name].readinto(left) :]
+        return out
+
+    def write(self, name: str, x: np.ndarray) -> None:
+        x = np.ascontiguousarray(x, self.FIELDS[name])
+        self.size[name] = len(x)
+        self.files[name].seek(0)
+        left = memoryview(x.view(np.uint8))
+        while len(left):
+            left = left[self.files[name].write(left) :]
 
-    def put(self, name: str, x: np.ndarray) -> None:
-        if self.folder:
-            x.astype(self.FIELDS[name], copy=False).tofile(os.path.join(self.folder.name, name))
-        else:
-            self.held[name] = x
+    def __enter__(self):
+        return self
 
-    def close(self) -> None:
-        if self.folder:
-            self.folder.cleanup()
+    def __exit__(self, *_):
+        for f in self.files.values():
+            f.close()
 
 
 def range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -244,23 +250,36 @@ def range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(flat: np.ndarray, offsets: np.ndarray, need: int, external: bool = False) -> np.ndarray:
+def repeated_starts(flat: np.ndarray, offsets: np.ndarray, need: int) -> np.ndarray:
     """Positions of flat, a collection of texts, whose suffix shares ``need`` symbols with another suffix."""
-    n_texts, size = len(offsets) - 1, np.diff(offsets)
     out = np.zeros(len(flat), bool)
     if not len(flat):
         return out
-    symbol = (np.unique(flat, return_inverse=True)[1].astype(np.int64) + 1) << 32
+    with Columns(len(offsets) - 1) as columns:
+        build(flat, offsets, columns)
+        lcp, at = columns.read("lcp"), columns.read("at")
+    hit = lcp >= need
+    hit[:-1] |= hit[1:].copy()
+    out[at[hit]] = True
+    return out
+
+
+def build(flat: np.ndarray, offsets: np.ndarray, columns: Columns) -> np.ndarray:
+    """Insert the texts' suffixes, one symbol of every text a round, from the ends; returns the symbols' values by number, less one."""
+    n_texts, size = len(offsets) - 1, np.diff(offsets)
+    values, number = np.unique(flat, return_inverse=True)
+    symbol = (number.astype(np.int64) + 1) << 32
     mask = (1 << 32) - 1
-    store = Sorted(external)
     current = np.arange(n_texts)  # place of each text's latest suffix; places count the empty suffixes
     for depth in range(1, int(size.max()) + 1):
         text = np.flatnonzero(size >= depth)
         at = offsets[1:][text] - depth
         key = symbol[at] | current[text]
+        bwt = columns.read("bwt")
+        bwt[current[text]] = key >> 32
         order = np.argsort(key)
         text, at, key = text[order], at[order], key[order]
-        old, lcp = store.get("key"), store.get("lcp")
+        old, lcp = columns.read("key"), columns.read("lcp")
         n, m = len(old), len(key)
         spot = np.searchsorted(old, key)
         place = spot + np.arange(m)
@@ -283,23 +302,20 @@ def repeated_starts(flat: np.ndarray, offsets: np.ndarray, need: int, external:
             changed[spot[last[tied]]] = 1 + _common(lcp, key[last[tied]] & mask, after[tied] & mask, n_texts)
         to = np.concatenate([np.arange(n_texts), moved + n_texts])
 
-        def insert(name: str, old_part: np.ndarray, new_part: np.ndarray) -> None:
-            x = np.empty(n + m, Sorted.FIELDS[name])
-            x[moved] = old_part
-            x[place] = new_part
-            store.put(name, x)
+        def insert(name: str, old_part: np.ndarray, new_part: np.ndarray, first: int = 0) -> None:
+            x = np.empty(first + n + m, Columns.FIELDS[name])
+            x[:first] = old_part[:first]
+            x[first + moved] = old_part[first:]
+            x[first + place] = new_part
+            columns.write(name, x)
 
+        insert("bwt", bwt, np.zeros(m, np.int32), n_texts)
         insert("key", (old & ~mask) | to[old & mask], (key & ~mask) | to[key & mask])
         insert("lcp", changed, new_lcp)
-        insert("at", store.get("at"), at)
+        insert("at", columns.read("at"), at)
         current = to[current]
         current[text] = place + n_texts
-    lcp, at = store.get("lcp"), store.get("at")
-    hit = lcp >= need
-    hit[:-1] |= hit[1:].copy()
-    out[at[hit]] = True
-    store.close()
-    return out
+    return values
 
 
 def _common(lcp: np.ndarray, a: np.ndarray, b: np.ndarray, n_texts: int) -> np.ndarray:
@@ -311,7 +327,7 @@ def _common(lcp: np.ndarray, a: np.ndarray, b: np.ndarray, n_texts: int) -> np.n
     return out
 
 
-def repeated_windows(bodies: list[bytes], places: list[int], external: bool | None = None) -> list[np.ndarray]:
+def repeated_windows(bodies: list[bytes], places: list[int]) -> list[np.ndarray]:
     """For each block (its bytes, and its owner's place in them) which of its windows are repeated in the collection."""
     raw = np.frombuffer(b"".join(bodies), np.uint8)
     size = np.array([len(b) for b in bodies])
@@ -327,8 +343,7 @@ def repeated_windows(bodies: list[bytes], places: list[int], external: bool | No
     flat = np.zeros(len(at), "<u8")
     for k in range(SYMBOL):
         flat |= raw[at + k].astype("<u8") << np.uint64(8 * k)
-    big = 14 * len(flat) > IN_MEMORY if external is None else external
-    hit = repeated_starts(flat, offsets, LENGTH // SYMBOL, big)
+    hit = repeated_starts(flat, offsets, LENGTH // SYMBOL)
     mark = np.zeros(len(raw), bool)
     mark[at[hit]] = True
     return [mark[a : a + w] for a, w in zip(first.tolist(), windows.tolist(), strict=True)]
