@@ -3,11 +3,13 @@
 One zstandard raw-content dictionary is cut for each language from a bounded sample of labelled
 documents. A text, reduced to lower-case letters and single blanks, is compressed whole, in blocks,
 with every dictionary; the smallest total wins. Equal totals go to the language with more training
-documents. A narrow margin between the two smallest totals is a rejection; in texts of under
-MIN_EVIDENCE bytes of letters, where one byte is more than the margin, only equal totals are.
+documents. A narrow margin between the two smallest totals, under NARROW of the larger or under one byte,
+is a rejection, at every size of text.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every text if no
-document is labelled. Languages are the non-null labels. Repeated rows and extra columns are harmless.
+Defined cases: null texts and texts without a letter are ``und`` with score 0 and rejected; so is every text
+if no document is labelled. Languages are the non-null labels; with one language nothing but ``und`` is
+rejected. Texts of any length are compressed whole; an empty table gives no rows; repeated rows and extra
+columns are harmless.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from .common import release
 #: Labelled documents sampled for each language, and code points taken from each: the fit's bounds.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 2000
 DICT_BYTES, BLOCK_BYTES, LEVEL = 65536, 4096, 5
-#: Margins under this are narrow; below MIN_EVIDENCE bytes of letters the coder's steps of a byte hide the margin and only a tie counts.
-NARROW, MIN_EVIDENCE = 0.01, 64
+#: Margins under this share, or under the coder's step of a byte, are narrow.
+NARROW = 0.01
 UND = "und"
 _OTHER = re.compile(rb"[^a-z\x80-\xff]+")
 
@@ -51,7 +53,7 @@ def fit(docs: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS, sample_c
     part = F.substring(F.col("text"), start.cast("int"), F.lit(sample_chars))
     picked = rows.select("lang", draw.alias("draw"), part.alias("part")).where(F.col("draw") < below)
     found = defaultdict(list)
-    for r in picked.limit(8 * sample_docs * len(counts)).collect():
+    for r in picked.orderBy("draw", "part").limit(8 * sample_docs * len(counts)).collect():
         found[r["lang"]].append((r["draw"], r["part"]))
     out = []
     for lang, _ in counts:
@@ -86,8 +88,8 @@ class Classifier:
         if len(sizes) == 1:
             return self.langs[0], 1.0, False
         second = min(s for i, s in enumerate(sizes) if i != best)
-        margin = (second - sizes[best]) / second
-        return self.langs[best], margin, margin < NARROW and (len(raw) >= MIN_EVIDENCE or second == sizes[best])
+        apart = second - sizes[best]
+        return self.langs[best], apart / second, apart < max(1, NARROW * second)
 
 
 def classify(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
