@@ -6,8 +6,9 @@ trained together on a bounded sample of labelled rows. Unseen misspellings share
 the words they come from. To score, each bucket's vector folds into one number, its logit.
 
 Defined cases: null and empty texts, or texts without a word, get the score of the bias alone; null
-labels are not learnt from; with no labelled rows, or one class only, every score is the prior.
-Repeated rows count as often as they stand; extra columns are harmless.
+labels are not learnt from; with no labelled rows, or one class only, every score is the prior. Equal labels
+of an id count once, an id with both labels is learnt with both; a labelled id with several documents
+brings each. Texts of any length are scored whole; an empty table gives no rows; extra columns are harmless.
 """
 
 from __future__ import annotations
@@ -149,10 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     for label, n in counts.items():
         below = F.when(F.col("toxic") == label, F.lit(min(steps, -(-3 * rows * steps // (2 * n))))).otherwise(below)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(steps))
-    picked = known.select("doc_id", draw.alias("draw"), F.col("toxic").alias("y"), below.alias("below")).where("draw < below").limit(4 * rows)
+    picked = known.select("doc_id", draw.alias("draw"), F.col("toxic").alias("y"), below.alias("below")).where("draw < below").orderBy("draw", "doc_id").limit(4 * rows)
     start = (F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.length("text") - chars, F.lit(1))) + 1).cast("int")
     found = docs.where(F.col("text").isNotNull()).join(F.broadcast(picked.select("doc_id", "draw", "y")), "doc_id")
-    got = sorted((r["draw"], r["t"], r["y"]) for r in found.select("draw", "y", F.substring("text", start, F.lit(chars)).alias("t")).limit(4 * rows).collect())
+    got = sorted((r["draw"], r["t"], r["y"]) for r in found.select("draw", "y", F.substring("text", start, F.lit(chars)).alias("t")).orderBy("draw", "y", "t").limit(4 * rows).collect())
     kept = [x for label in sorted(counts) for x in [g for g in got if g[2] == label][:rows]]
     return train([x[1] for x in kept], [x[2] for x in kept])
 
