@@ -6,7 +6,8 @@ order, all occurrences of a pair merge at once, and only the neighbours' entries
 equal those of merging each word alone, lowest rank first, leftmost first.
 
 Defined cases: null and empty texts have no tokens; added tokens' strings in a text are those tokens;
-text of any length is encoded whole. Repeated rows repeat; extra columns are kept.
+text of any length is encoded whole; of equal pairs the leftmost merges first; an empty table gives no
+rows. Repeated rows repeat; extra columns are kept. Vocabularies with rules that are not built raise an error.
 """
 
 from __future__ import annotations
@@ -43,6 +44,9 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        unknown = [t["content"] for t in spec["added_tokens"] if any(t.get(f) for f in ("lstrip", "rstrip", "single_word"))]
+        if spec.get("normalizer") or unknown or (spec.get("pre_tokenizer") or {}).get("add_prefix_space") or spec["model"].get("dropout"):
+            raise ValueError("the vocabulary asks for a normalizer, stripping tokens, a prefix blank or dropout, which are not built")
         ids, to_byte = spec["model"]["vocab"], byte_symbols()
         self.n = 1 + max([*ids.values(), *(t["id"] for t in spec["added_tokens"])])
         self.bytes = [b""] * self.n
