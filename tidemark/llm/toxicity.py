@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A text is the bag of the character n-grams (in UTF-8 bytes, with word marks) and whole words of its
-words; their vectors are averaged and a linear softmax gives the class. Vectors and softmax are
+words; their vectors are averaged, rare ones with more weight, and a linear softmax gives the class. Vectors and softmax are
 trained together on a bounded sample of labelled rows. Unseen misspellings share n-gram vectors with
 the words they come from. To score, each bucket's vector folds into one number, its logit.
 
@@ -26,9 +26,11 @@ from . import common as C
 BUCKETS, DIM, SIZES = 1 << 18, 8, (3, 4, 5)
 #: Bounds of the fit: labelled rows of each class, and code points of each text (a window placed by a hash).
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 10000
-EPOCHS, BATCH, RATE = 12, 128, 0.3
-#: n-grams of no leaning added to each text when it is scored: a few n-grams are little evidence.
+EPOCHS, BATCH, RATE = 20, 128, 0.3
+#: n-grams of no leaning that each text has besides its own: a few n-grams are little evidence.
 SMOOTH = 40
+#: Share of training texts at which an n-gram's weight in the average is a half; rarer ones weigh more.
+RARE = 0.1
 
 IS_SEP = np.ones(256, bool)
 IS_SEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -67,6 +69,7 @@ def bag(data: np.ndarray, offsets: np.ndarray):
 class Model:
     logit: np.ndarray  # of each bucket, as if alone in its text
     bias: float
+    rarity: np.ndarray  # weight of each bucket in an average
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
@@ -74,8 +77,8 @@ class Model:
         data, start, end, doc, inverse = bag(data, offsets)
         if len(start):
             word, gram = word_grams(data, start, end)
-            s = np.bincount(word, self.logit[gram], len(start))
-            c = np.bincount(word, minlength=len(start)).astype(float)
+            s = np.bincount(word, (self.logit * self.rarity)[gram], len(start))
+            c = np.bincount(word, self.rarity[gram], len(start))
             total = np.bincount(doc, s[inverse], n)
             count = np.bincount(doc, c[inverse], n)
         z = self.bias + total / (count + SMOOTH)
@@ -87,7 +90,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     y = np.asarray(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99)
-        return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
+        return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))), np.ones(BUCKETS))
     rng = np.random.default_rng(seed)
     rows, cols, weights = [], [], []
     data, offsets = C.text_buffer(pa.array(texts, pa.large_string()))
@@ -105,7 +108,9 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
         cols.append((key % BUCKETS).astype(np.int32))
         weights.append(times.astype(np.float32))
     row, col, weight = np.concatenate(rows), np.concatenate(cols), np.concatenate(weights)
-    weight /= np.bincount(row, weight, len(y)).astype(np.float32)[row]
+    rarity = RARE / (RARE + np.bincount(col, minlength=BUCKETS) / len(y))
+    weight *= rarity.astype(np.float32)[col]
+    weight /= (np.bincount(row, weight, len(y)) + SMOOTH).astype(np.float32)[row]
     at = np.searchsorted(row, np.arange(len(y) + 1))
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -135,7 +140,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
             vectors[used] -= RATE * d / np.sqrt(g_vec[used])
             out -= RATE * d_out / np.sqrt(g_out)
             bias -= RATE * d_bias / np.sqrt(g_bias)
-    return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
+    return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]), rarity)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
@@ -159,13 +164,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every column of docs and ``score`` (which replaces one so named). The model's size is fixed (BUCKETS numbers)."""
+    """Every column of docs and ``score`` (which replaces one so named). The model's size is fixed (twice BUCKETS numbers)."""
     docs = docs.drop("score")
-    sent = docs.sparkSession.sparkContext.broadcast((model.logit.astype(np.float32), model.bias))
+    sent = docs.sparkSession.sparkContext.broadcast((model.logit.astype(np.float32), model.bias, model.rarity.astype(np.float32)))
     schema = docs.withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(sent.value[0].astype(np.float64), sent.value[1])
+        known = Model(sent.value[0].astype(np.float64), sent.value[1], sent.value[2].astype(np.float64))
         for batch in batches:
             table = pa.table(batch)
             data, offsets = C.text_buffer(table.column(text))
