@@ -208,6 +208,34 @@ def test_toxicity_learns_words_and_their_misspellings(spark):
     assert 0 <= toxicity.score(docs_of(spark, ODD), none).agg(F.max("score")).first()[0] <= 0.5
 
 
+def grams_of(text):
+    out = []
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower()):
+        m = b"\x01" + w + b"\x02"
+        out += [m[i : i + n] for n in (3, 4, 5) for i in range(len(m) - n + 1) if n != len(m)] + [m]
+    return out
+
+
+def bucket(gram):
+    x = np.frombuffer(gram, np.uint8)
+    return int(common.range_hash(common.prefix_hash(x), np.array([0]), np.array([len(x)]))[0] % np.uint64(toxicity.BUCKETS))
+
+
+def test_toxicity_scores_equal_a_plain_scorer():
+    texts = [*make_texts(60, 3), "", " ", "a", "Éa zz " * 50, "x-y_z 12"]
+    labels = [int(k % 3 == 0) for k in range(60)] + [0] * 5
+    model = toxicity.train(texts, labels)
+    data, offsets = common.text_buffer(pa.array(texts, pa.large_string()))
+    for t, got in zip(texts, model.score(data, offsets), strict=True):
+        b = [bucket(g) for g in grams_of(t)]
+        z = model.bias + sum(model.logit[k] * model.rarity[k] for k in b) / (sum(model.rarity[k] for k in b) + toxicity.SMOOTH)
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-9
+    # Vectors and softmax learnt together tell the classes of their own texts apart.
+    own = model.score(*common.text_buffer(pa.array(texts[:60], pa.large_string())))
+    y = np.array(labels[:60])
+    assert own[y == 1].mean() > own[y == 0].mean() + 0.3
+
+
 # op3
 
 
@@ -324,6 +352,23 @@ def test_message_passing_agrees_with_enumeration_on_trees():
 # op5
 
 
+def test_languages_equal_a_plain_loop_over_zstandard():
+    import zstandard as zstd
+
+    model = [("aa", b"the cat sat on the mat and the dog ran to the house " * 9), ("bb", b"le chat est sur le tapis et le chien court vers la maison " * 9)]
+    known = langid.Classifier(model)
+    rng = random.Random(0)
+    for _ in range(100):
+        text = " ".join(rng.choice(rng.choice([b"the cat house dog ran", b"le chat maison chien court"]).decode().split()).title() for _ in range(rng.randint(1, 2000)))
+        raw, sizes = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode()).strip(), []
+        for _, body in model:
+            params = zstd.ZstdCompressionParameters.from_level(langid.LEVEL, source_size=langid.BLOCK_BYTES, dict_size=langid.DICT_BYTES, write_content_size=False, format=zstd.FORMAT_ZSTD1_MAGICLESS)
+            coder = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(body, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params)
+            sizes.append(sum(len(coder.compress(raw[k : k + langid.BLOCK_BYTES])) for k in range(0, len(raw), langid.BLOCK_BYTES)))
+        apart = abs(sizes[0] - sizes[1])
+        assert known.classify(text) == ("aa" if sizes[0] <= sizes[1] else "bb", apart / max(sizes), apart < 1 or apart < 0.01 * max(sizes))
+
+
 def test_language_ties_of_short_texts_are_rejected():
     known = langid.Classifier([("aa", b"the cat sat on the mat "), ("bb", b"le chat est sur le tapis ")])
     assert known.classify("qzxj vwkq") == ("aa", 0.0, True)
@@ -418,6 +463,34 @@ def test_lm_probabilities_sum_to_one_and_windows_are_causal(vocabulary):
     assert set(covered.values()) == {1} and len(covered) == 183
 
 
+def test_lm_scores_equal_one_window_at_a_time(vocabulary):
+    tok = pytest.importorskip("public_tokenizers")
+    sub = lm.Subwords(str(tok.path("byte_bpe_50k.tiktoken")), tok.PATTERN)
+    texts = [*make_texts(40, 4, 150), ""]
+    ids, size = lm.sequences(lm.Words(pa.array(texts)), sub)
+    model = lm.train(texts, np.bincount(ids, minlength=sub.size).astype(float), sub, steps=30)
+    got = model.log10(ids, size, sub.end)
+    p, d = {k: v.astype(float) for k, v in model.p.items()}, lm.DIM
+    soft = lambda z: z - z.max() - math.log(np.exp(z - z.max()).sum())
+    first = 0
+    for n in size.tolist():
+        mine = ids[first : first + n].tolist()
+        before = [sub.end, *mine[:-1]]
+        for t in range(n):
+            # The window of token t: windows begin every WIDTH - CONTEXT tokens, and score what no earlier one did.
+            k = 0 if t < lm.WIDTH else -(-(t + 1 - lm.WIDTH) // (lm.WIDTH - lm.CONTEXT)) * (lm.WIDTH - lm.CONTEXT)
+            x = p["vector"][before[k : t + 1]] + p["place"][: t + 1 - k]
+            q, key, value = (x @ p["qkv"][:, i * d : i * d + d] for i in range(3))
+            a = np.exp(soft(key @ q[-1]))
+            h = x[-1] + (a @ value) @ p["mix"]
+            g, leaf = model.group[mine[t]], model.leaf[mine[t]]
+            want = soft(h @ p["out"] + p["bias"])[g] + soft(h @ p["out2"][g] + p["bias2"][g])[leaf] + model.share[mine[t]]
+            assert abs(want / math.log(10) - got[first + t]) < 1e-3
+        first += n
+    counts = np.array([0, 1, 2**32, 2**40 + 5], np.uint64)
+    assert (lm.unpack_counts(lm.pack_counts(counts)) == counts).all() and len(lm.pack_counts(counts[:2])) == 3
+
+
 def test_lm_learns_from_short_texts_and_ends(vocabulary):
     tok = pytest.importorskip("public_tokenizers")
     sub = lm.Subwords(str(tok.path("byte_bpe_50k.tiktoken")), tok.PATTERN)
