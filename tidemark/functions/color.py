@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Color = tuple[Column, Column, Column]
@@ -31,16 +31,24 @@ def _apply(m, c: Color) -> Color:
     return tuple(c[0] * F.lit(r[0]) + c[1] * F.lit(r[1]) + c[2] * F.lit(r[2]) for r in m)
 
 
+def _held(x: Column, inner: Column) -> Column:
+    """inner, but x where it is null or NaN."""
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(inner)
+
+
 def clip_color(c: Color, mode: int) -> Color:
-    """0 none; 1 within [0, 1]; 2 no less than black, and scaled if over white."""
+    """0 none; 1 within [0, 1]; 2 no less than black, and scaled if over white; 3 null where any part is outside [0, 1]. Null and NaN stay."""
     if mode == 0:
         return c
-    low = tuple(F.greatest(x, F.lit(0.0)) for x in c)
+    low = tuple(_held(x, F.greatest(x, F.lit(0.0))) for x in c)
     if mode == 1:
-        return tuple(F.least(x, F.lit(1.0)) for x in low)
+        return tuple(_held(x, F.least(x, F.lit(1.0))) for x in low)
     if mode == 2:
-        top = F.greatest(F.lit(1.0), *low)
-        return tuple(x / top for x in low)
+        top = F.greatest(F.lit(1.0), *[F.when(~F.isnan(x), x) for x in low])
+        return tuple(_held(x, x / top) for x in low)
+    if mode == 3:
+        inside = (c[0] >= 0) & (c[0] <= 1) & (c[1] >= 0) & (c[1] <= 1) & (c[2] >= 0) & (c[2] <= 1)
+        return tuple(F.when(inside, x) for x in c)
     raise ValueError(f"no clip mode {mode}")
 
 
@@ -49,7 +57,7 @@ def srgb_to_linear(c: Color) -> Color:
 
 
 def linear_to_srgb(c: Color) -> Color:
-    return tuple(F.when(x <= 0.0031308, x * 12.92).otherwise(1.055 * F.pow(F.greatest(x, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055) for x in c)
+    return tuple(_held(x, F.when(x <= 0.0031308, x * 12.92).otherwise(1.055 * F.pow(F.greatest(x, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)) for x in c)
 
 
 def linear_to_xyz(c: Color) -> Color:
@@ -119,6 +127,46 @@ def from_saturation(c: Color) -> Color:
     return from_polar((c[0], c[1] * c[0], c[2]))
 
 
+#: Fixed value: the share of full lightness that scales the contrast of the HCL space.
+HCL_REFERENCE = 100
+
+
+def linear_to_hcl(c: Color, gamma: float = 10.0) -> Color:
+    """Hue (radians), chroma, lightness after Sarifuddin and Missaoui. Gray, which has no hue, gets 0."""
+    top, low = F.greatest(*c), F.least(*c)
+    q = F.exp(gamma / HCL_REFERENCE * F.coalesce(F.try_divide(low, top), F.lit(0.0)))
+    red_green, green_blue = c[0] - c[1], c[1] - c[2]
+    ratio = F.atan(F.try_divide(green_blue, red_green))
+    angle = F.when(red_green == 0, F.signum(green_blue) * (math.pi / 2)).otherwise(ratio)
+    hue = (
+        F.when((red_green >= 0) & (green_blue >= 0), angle * (2 / 3))
+        .when(red_green >= 0, angle * (4 / 3))
+        .when(green_blue >= 0, angle * (4 / 3) + math.pi)
+        .otherwise(angle * (2 / 3) - math.pi)
+    )
+    chroma = q / 3 * (F.abs(red_green) + F.abs(green_blue) + F.abs(c[2] - c[0]))
+    known = c[0].isNotNull() & c[1].isNotNull() & c[2].isNotNull()
+    return tuple(F.when(known, x) for x in (hue, chroma, (q * top + (q - 1) * low) / 2))
+
+
+def hcl_to_linear(c: Color, gamma: float = 10.0) -> Color:
+    """The colour that linear_to_hcl() comes from: its largest and smallest parts from chroma and lightness, the middle one from the hue."""
+    hue, chroma, light = c
+    q = F.exp(gamma / HCL_REFERENCE * (1 - F.coalesce(F.try_divide(3 * chroma, 4 * light), F.lit(1.0))))
+    low = (4 * light - 3 * chroma) / (4 * q - 2)
+    top = low + 3 * chroma / (2 * q)
+    h = F.pmod(hue + math.pi, F.lit(2 * math.pi)) - math.pi
+    third = math.pi / 3
+    # Tangents of what the forward way stretched: (G - B) / (R - G), by the sector's stretch.
+    near, wide = F.tan(1.5 * h), F.tan(0.75 * h)
+    back, far = F.tan(0.75 * (h - math.pi)), F.tan(1.5 * (h + math.pi))
+    pick = lambda *six: F.when(h < -2 * third, six[0]).when(h < -third, six[1]).when(h < 0, six[2]).when(h <= third, six[3]).when(h <= 2 * third, six[4]).otherwise(six[5])
+    red = pick(low, (low * (1 + wide) - top) / wide, top, top, (top * (1 + back) - low) / back, low)
+    green = pick((low * far + top) / (1 + far), low, low, (top * near + low) / (1 + near), top, top)
+    blue = pick(top, top, low * (1 + wide) - top * wide, low, low, top * (1 + back) - low * back)
+    return red, green, blue
+
+
 IN = {
     "ciexyz": lambda c, w: c,
     "linearrgb": lambda c, w: linear_to_xyz(c),
@@ -130,6 +178,7 @@ IN = {
     "cielchuv": lambda c, w: luv_to_xyz(from_polar(c), w),
     "lshuv": lambda c, w: luv_to_xyz(from_saturation(c), w),
     "lms": lambda c, w: lms_to_xyz(c),
+    "hcl": lambda c, w: linear_to_xyz(hcl_to_linear(c)),
 }
 OUT = {
     "ciexyz": lambda c, w, k: clip_color(c, k),
@@ -142,6 +191,7 @@ OUT = {
     "cielchuv": lambda c, w, k: to_polar(xyz_to_luv(c, w)),
     "lshuv": lambda c, w, k: to_saturation(xyz_to_luv(c, w)),
     "lms": lambda c, w, k: xyz_to_lms(c),
+    "hcl": lambda c, w, k: linear_to_hcl(xyz_to_linear(c, k)),
 }
 
 
@@ -154,12 +204,18 @@ def gray(c: Color) -> Column:
     return (2 * c[0] + 3 * c[1] + c[2]) / 6
 
 
+#: How much of each part of a colour (columns) goes to each part (rows) of the turned one: constant, by the cosine, by the sine.
+TURN = (
+    ((0.299, 0.701, 0.168), (0.587, -0.587, 0.330), (0.114, -0.114, -0.497)),
+    ((0.299, -0.299, -0.328), (0.587, 0.413, 0.035), (0.114, -0.114, 0.292)),
+    ((0.299, -0.300, 1.250), (0.587, -0.588, -1.050), (0.114, 0.886, -0.203)),
+)
+
+
 def rotate_hue(c: Color, degrees: float) -> Color:
-    """Rotation of RGB about its gray axis."""
-    t = math.radians(degrees)
-    k, s = (1 - math.cos(t)) / 3, math.sin(t) / math.sqrt(3)
-    m = ((math.cos(t) + k, k - s, k + s), (k + s, math.cos(t) + k, k - s), (k - s, k + s, math.cos(t) + k))
-    return _apply(m, c)
+    """RGB with its hue turned about gray, luma kept."""
+    u, w = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    return _apply(tuple(tuple(k + a * u + b * w for k, a, b in row) for row in TURN), c)
 
 
 def blend(base: Color, above: Color, alpha: Column) -> Color:
@@ -167,7 +223,71 @@ def blend(base: Color, above: Color, alpha: Column) -> Color:
     return tuple(a * alpha + b * (1 - alpha) for a, b in zip(above, base, strict=True))
 
 
-def lut_index(x: Column, low: float, high: float, size: int) -> Column:
+def blend_alpha(base: tuple[Column, ...], above: tuple[Column, ...]) -> tuple[Column, ...]:
+    """Colours with alpha last, above over base, with the alpha of both; a base without alpha is solid. Where both are clear all is 0."""
+    n = len(above) - 1
+    under = base[n] if len(base) > n else F.lit(1.0)
+    over = above[n]
+    alpha = over + (1 - over) * under
+    parts = [F.when(alpha == 0, F.lit(0.0)).otherwise((over * above[k] + (1 - over) * under * base[k]) / (alpha + 1e-20)) for k in range(n)]
+    return (*parts, alpha)
+
+
+def apply_alpha(c: tuple[Column, ...]) -> tuple[Column, ...]:
+    """Every part of a colour times its alpha, which is last and goes."""
+    return tuple(x * c[-1] for x in c[:-1])
+
+
+def lut_index(x: Column, low, high, size: int) -> Column:
     """Bin of a colour table of ``size`` entries between the limits; outside, the nearest; NaN gives null."""
     bin_ = F.floor((x - low) / (high - low) * size)
     return F.when(F.isnan(x) | x.isNull(), None).otherwise(F.greatest(F.lit(0), F.least(F.lit(size - 1), bin_)).cast("int"))
+
+
+def apply_lut(df: DataFrame, x: str, lut: DataFrame, size: int, low: float | None = None, high: float | None = None) -> DataFrame:
+    """df and the r, g, b of the entry of ``lut`` (i, r, g, b; ``size`` entries) that x falls on. Limits not given are those of x; NaN and null get the first entry.
+
+    The table has a fixed number of entries, so it is sent to the rows.
+    """
+    v = F.when(~F.isnan(x), F.col(x))
+    if low is None or high is None:
+        ends = df.agg(F.min(v).cast("double").alias("_low"), F.max(v).cast("double").alias("_high"))
+        df = df.crossJoin(F.broadcast(ends))  # one row
+    at = lut_index(F.col(x), F.col("_low") if low is None else F.lit(float(low)), F.col("_high") if high is None else F.lit(float(high)), size)
+    out = df.withColumn("_i", F.coalesce(at, F.lit(0))).join(F.broadcast(lut.withColumnRenamed("i", "_i")), "_i", "left")
+    return out.drop("_i", "_low", "_high")
+
+
+def lab_distance(a: Color, b: Color) -> Column:
+    """CIEDE2000 of two Lab colours, with unit weights."""
+    chroma = lambda x, y: F.sqrt(x * x + y * y)
+    share = lambda c: F.sqrt(F.pow(c, F.lit(7.0)) / (F.pow(c, F.lit(7.0)) + 25.0**7))
+    stretch = 1 + (1 - share((chroma(a[1], a[2]) + chroma(b[1], b[2])) / 2)) / 2
+    a1, a2 = a[1] * stretch, b[1] * stretch
+    c1, c2 = chroma(a1, a[2]), chroma(a2, b[2])
+    turn = F.lit(2 * math.pi)
+    h1, h2 = F.pmod(F.atan2(a[2], a1), turn), F.pmod(F.atan2(b[2], a2), turn)
+    gray, apart = (c1 == 0) | (c2 == 0), F.abs(h1 - h2) > math.pi
+    dh = F.when(gray, F.lit(0.0)).when(~apart, h2 - h1).when(h2 <= h1, h2 - h1 + turn).otherwise(h2 - h1 - turn)
+    h = F.when(gray, h1 + h2).when(apart, (h1 + h2 + turn) / 2).otherwise((h1 + h2) / 2)
+    light, c = (a[0] + b[0]) / 2, (c1 + c2) / 2
+    rad = math.radians
+    t = 1 - 0.17 * F.cos(h - rad(30)) + 0.24 * F.cos(2 * h) + 0.32 * F.cos(3 * h + rad(6)) - 0.20 * F.cos(4 * h - rad(63))
+    s_l = 1 + 0.015 * (light - 50) ** 2 / F.sqrt(20 + (light - 50) ** 2)
+    x, y, z = (b[0] - a[0]) / s_l, (c2 - c1) / (1 + 0.045 * c), 2 * F.sqrt(c1 * c2) * F.sin(dh / 2) / (1 + 0.015 * c * t)
+    twist = -2 * share(c) * F.sin(rad(60) * F.exp(-(((h - rad(275)) / rad(25)) ** 2)))
+    return F.sqrt(x * x + y * y + z * z + twist * y * z)
+
+
+def lch_distance(a: Color, b: Color, lightness: float = 1.0, chroma: float = 1.0) -> Column:
+    """CMC l:c of two LCh colours (hue in radians); the first is the standard."""
+    rad = math.radians
+    s_l = F.when(a[0] < 16, F.lit(0.511)).otherwise(0.040975 * a[0] / (1 + 0.01765 * a[0]))
+    s_c = 0.0638 * a[1] / (1 + 0.0131 * a[1]) + 0.638
+    f = F.sqrt(F.pow(a[1], F.lit(4.0)) / (F.pow(a[1], F.lit(4.0)) + 1900))
+    h = F.pmod(a[2], F.lit(2 * math.pi))
+    t = F.when((h >= rad(164)) & (h <= rad(345)), 0.56 + F.abs(0.2 * F.cos(h + rad(168)))).otherwise(0.36 + F.abs(0.4 * F.cos(h + rad(35))))
+    dc = a[1] - b[1]
+    dh2 = (a[1] * F.cos(a[2]) - b[1] * F.cos(b[2])) ** 2 + (a[1] * F.sin(a[2]) - b[1] * F.sin(b[2])) ** 2 - dc * dc
+    s_h = s_c * (f * t + 1 - f)
+    return F.sqrt(((b[0] - a[0]) / (lightness * s_l)) ** 2 + (dc / (chroma * s_c)) ** 2 + F.greatest(dh2, F.lit(0.0)) / s_h**2)

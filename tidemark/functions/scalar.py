@@ -1,4 +1,4 @@
-"""Column expressions: predicates, dates and times as digit strings, geometry, filter design, photometry, machine words."""
+"""Column expressions: predicates, dates and times as digit strings, geometry, filter design, photometry, array shapes."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """x held within [low, high]; NaN stays."""
-    return F.when(F.isnan(x), x).otherwise(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
+    """x held within [low, high]; null and NaN stay."""
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
 def in_range(x: Column, low, high, strict: bool = False) -> Column:
@@ -26,22 +27,29 @@ def equal(a: Column, b: Column, eps: float = 1e-10) -> Column:
     return F.abs(a - b) < F.lit(eps) * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
 
 
+def arrays_equal(a: Column, b: Column, eps: float = 1e-10) -> Column:
+    """Element by element, with one threshold for all: eps times the largest magnitude of either array, or eps if that is under one."""
+    most = lambda x: F.coalesce(F.array_max(F.transform(x, lambda v: F.abs(v))), F.lit(0.0))
+    limit = F.lit(eps) * F.greatest(F.lit(1.0), most(a), most(b))
+    return F.zip_with(a, b, lambda x, y: F.abs(x - y) < limit)
+
+
 def if_else(cond: Column, yes: Column, no: Column) -> Column:
     return F.when(cond, yes).otherwise(no)
 
 
 def _day(s: Column) -> Column:
-    return F.to_date(F.concat(F.lit("20"), s), "yyyyMMdd")
+    """The day of six digits, of 20yy; null for other text and for days that no calendar has."""
+    return F.when(s.rlike("^[0-9]{6}$"), F.try_to_timestamp(F.concat(F.lit("20"), s), F.lit("yyyyMMdd")).cast("date"))
 
 
 def date_add(yymmdd: Column, days: Column) -> Column:
-    """Years are 20yy; null for what is not six digits."""
-    ok = yymmdd.rlike("^[0-9]{6}$")
-    return F.when(ok, F.date_format(F.date_add(_day(yymmdd), days.cast("int")), "yyMMdd"))
+    """Years are 20yy; null for what is no day."""
+    return F.date_format(F.date_add(_day(yymmdd), days.cast("int")), "yyMMdd")
 
 
 def date_sub(a: Column, b: Column) -> Column:
-    """Days from b to a."""
+    """Days from b to a; null where either is no day."""
     return F.datediff(_day(a), _day(b))
 
 
@@ -100,9 +108,9 @@ def lumen_to_candela(lm: Column, full_angle_deg: Column) -> Column:
 
 
 def logit_coherence(y: Column) -> Column:
-    """Logit of the squared magnitude, kept off 0 and 1."""
+    """Logit of the squared magnitude, kept off 0 and 1; null and NaN stay."""
     z = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), y * y))
-    return -F.log(1 / z - 1)
+    return F.when(y.isNull() | F.isnan(y), y).otherwise(-F.log(1 / z - 1))
 
 
 def coherence_from_logit(x: Column) -> Column:
@@ -119,30 +127,60 @@ def coerce(v: Column) -> Column:
     return F.struct(i.alias("i"), F.when(i.isNull(), f).alias("f"), F.when(f.isNull(), F.regexp_replace(v, r'^"(.*)"$', "$1")).alias("s"))
 
 
-def machine_word(letter: str, value: Column) -> Column:
-    """A word of a machining program: lengths in mm become inches with four places, feeds in mm/s inches a minute with three."""
-    if letter in "XYZ":
-        return F.format_string(f"{letter}%.4f", value / 25.4)
-    if letter == "F":
-        return F.format_string("F%.3f", value * 60 / 25.4)
-    return F.format_string(f"{letter}%.4f", value)
+def inverse_permutation(x: Column) -> Column:
+    """y with y[x[i]] = i, for an array of 0 .. n - 1: its places in order of its values."""
+    at = F.transform(x, lambda v, i: F.struct(v.alias("v"), i.cast("long").alias("i")))
+    return F.transform(F.array_sort(at), lambda p: p["i"])
 
 
-def renumber(program: Column) -> Column:
-    """Lines with N10, N20, ... before them."""
-    lines = F.split(program, "\n")
-    return F.array_join(F.transform(lines, lambda s, k: F.concat(F.lit("N"), ((k + 1) * 10).cast("string"), F.lit(" "), s)), "\n")
+def lin(x: Column) -> Column:
+    """x itself, where a function of x is asked for."""
+    return x
 
 
-def inverse_permutation(x: Column) -> Column:
-    """y with y[x[i]] = i, for an array of 0 .. n - 1."""
-    return F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (F.array_position(x, i.cast("long")) - 1).cast("long"))
+def is_scalar(kind: T.DataType, x: Column) -> Column:
+    """Whether x is one number: of a numeric type, or an array (of arrays) with one number in all."""
+    if isinstance(kind, T.NumericType):
+        return F.lit(True)
+    if not isinstance(kind, T.ArrayType):
+        return F.lit(False)
+    return F.coalesce((F.size(x) == 1) & is_scalar(kind.elementType, F.get(x, F.lit(0))), F.lit(False))
+
+
+def as_scalar(kind: T.DataType, x: Column) -> Column:
+    """The number of what is_scalar() is true for; null for others."""
+    value = x
+    while isinstance(kind, T.ArrayType):
+        value, kind = F.get(value, F.lit(0)), kind.elementType
+    return value
+
+
+def is_vector(kind: T.DataType, x: Column) -> Column:
+    """Whether x is a number, or a numeric array in which no more than one dimension has more than one entry. Empty arrays are."""
+    if isinstance(kind, T.NumericType):
+        return F.lit(True)
+    if not isinstance(kind, T.ArrayType):
+        return F.lit(False)
+    if isinstance(kind.elementType, T.NumericType):
+        return F.lit(True)
+    flat = F.size(x) == F.aggregate(x, F.lit(0), lambda n, v: n + F.when(is_scalar(kind.elementType, v), 1).otherwise(0))
+    return (F.size(x) == 0) | flat | ((F.size(x) == 1) & is_vector(kind.elementType, F.get(x, F.lit(0))))
+
+
+def tile_to(x: Column, rows: int, columns: int | None = None) -> Column:
+    """An array repeated to ``rows`` entries, or an array of arrays to rows by columns; null where the sizes do not divide."""
+    if columns is not None:
+        inner = F.transform(x, lambda r: tile_to(r, columns))
+        whole = F.forall(inner, lambda r: r.isNotNull())
+        return F.when(whole, tile_to(inner, rows))
+    fits = (F.size(x) > 0) & (F.pmod(F.lit(rows), F.when(F.size(x) > 0, F.size(x))) == 0)
+    return F.when(fits, F.flatten(F.array_repeat(x, F.floor(F.lit(rows) / F.size(x)).cast("int"))))
 
 
 def protected_split(text: Column, separators: str = " ", escape: str = "\\") -> Column:
     """Fields of a text split at separator characters outside quotes and brackets; an escape keeps the next character.
 
-    The last field counts. Two adjoining separators hold an empty field.
+    The last field counts. Two adjoining separators hold an empty field; empty text is one.
     """
     pairs = {"'": "'", '"': '"', "(": ")", "[": "]", "{": "}"}
     closing = F.create_map(*[F.lit(x) for p in pairs.items() for x in p])
@@ -160,5 +198,5 @@ def protected_split(text: Column, separators: str = " ", escape: str = "\\") ->
             is_esc.alias("esc"),
         )
 
-    done = F.aggregate(F.split(text, ""), zero, step)
+    done = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), zero, step)
     return F.concat(done["out"], F.array(done["cur"]))
