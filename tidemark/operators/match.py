@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,15 +49,14 @@ def correlogram(a: DataFrame, b: DataFrame, keys: list[str], dt: float, n: int,
     return grid.join(found, [*keys, "lag"], "left").select(*keys, "lag", F.coalesce("c", F.lit(0)).alias("pairs"))
 
 
-def in_polygon(points: DataFrame, edges: list[tuple[float, float]]):
-    """Column: (x, y) within a convex polygon of a few corners given in order; the border counts."""
-    crosses = []
-    for (x0, y0), (x1, y1) in zip(edges, edges[1:] + edges[:1], strict=True):
-        crosses.append((F.col("x") - x0) * (y1 - y0) - (F.col("y") - y0) * (x1 - x0))
-    ok = F.lit(True)
-    for c in crosses[1:]:
-        ok = ok & (c * F.signum(crosses[0]) >= 0)
-    return ok
+def in_polygon(corners: list[tuple[float, float]], x: str = "x", y: str = "y") -> Column:
+    """(x, y) within a convex polygon of a few corners given in order, either way round; the border counts. Null where x or y is."""
+    px, py = F.col(x), F.col(y)
+    side = [(px - x0) * (y1 - y0) - (py - y0) * (x1 - x0) for (x0, y0), (x1, y1) in zip(corners, corners[1:] + corners[:1], strict=True)]
+    left, right = F.lit(True), F.lit(True)
+    for c in side:
+        left, right = left & (c >= 0), right & (c <= 0)
+    return left | right
 
 
 def polygon_area(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,12 +69,38 @@ def polygon_area(df: DataFrame, keys: list[str]) -> DataFrame:
     return s.groupBy(*keys).agg((F.sum(F.col("_x") * F.col("_ny") - F.col("_nx") * F.col("_y")) / 2).alias("area"))
 
 
-def kernel_regression(queries: DataFrame, data: DataFrame, keys: list[str], sigma: float, reach: float = 8.0) -> DataFrame:
-    """keys, q, y: Gaussian-weighted means of data (keys, x, y) at q. Weights beyond ``reach`` sigmas, under 1e-13, do not count."""
+def kernel_regression(queries: DataFrame, data: DataFrame, keys: list[str], sigma: float, reach: float = 8.0, err: bool = False) -> DataFrame:
+    """keys, q, y: Gaussian-weighted means of data (keys, x, y) at every row's q; null where a key has no data.
+
+    Weights are relative to that of the nearest datum, so a q far from all data has a mean too; those under
+    exp(-reach ** 2 / 2), about 1e-14, of it do not count. What counts lies within ``reach`` sigmas of the
+    places as far from q as the nearest datum, so the join is an equality on buckets. ``err`` adds sy: the
+    weighted root mean square of the data's own residuals, over the root of one over the largest share.
+    """
+    one = queries.select(*keys, "q").distinct()
+    found = _means(one, data, keys, sigma, reach)
+    if err:
+        own = _means(data.select(*keys, F.col("x").alias("q")).distinct(), data, keys, sigma, reach).select(*keys, F.col("q").alias("x"), F.col("y").alias("_m"))
+        rest = data.join(own, [*keys, "x"]).select(*keys, "x", ((F.col("y") - F.col("_m")) ** 2).alias("y"))
+        spread = _means(one, rest, keys, sigma, reach).select(*keys, "q", F.sqrt(F.col("y") * F.col("_share")).alias("sy"))
+        found = found.join(spread, [*keys, "q"])
+    return queries.select(*keys, "q").join(found.drop("_share"), [*keys, "q"], "left")
+
+
+def _means(queries: DataFrame, data: DataFrame, keys: list[str], sigma: float, reach: float) -> DataFrame:
+    """keys, q, y and the largest share of a datum, of distinct q."""
     width = reach * sigma
+    # The distance to the nearest datum on either side, from running windows over both relations.
+    marks = queries.select(*keys, F.col("q").cast("double").alias("_t"), F.lit(None).cast("double").alias("_x"))
+    marks = marks.unionByName(data.select(*keys, F.col("x").cast("double").alias("_t"), F.col("x").cast("double").alias("_x")))
+    w = Window.partitionBy(*keys).orderBy("_t")
+    back = F.col("_t") - F.last("_x", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("_x", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)) - F.col("_t")
+    near = marks.withColumn("_d", F.least(back, ahead)).where("_x IS NULL AND _d IS NOT NULL").select(*keys, F.col("_t").alias("q"), "_d")
     bucket = lambda c: F.floor(c / F.lit(width))
-    left = queries.select(*keys, "q").withColumn("_b", F.explode(F.array(*[bucket(F.col("q")) + k for k in (-1, 0, 1)])))
-    right = data.select(*keys, "x", "y").withColumn("_b", bucket(F.col("x")))
-    z = (F.col("q") - F.col("x")) / F.lit(sigma)
-    both = left.join(right, [*keys, "_b"]).where(F.abs(z) <= reach).withColumn("_w", F.exp(-0.5 * z * z))
-    return both.groupBy(*keys, "q").agg((F.sum(F.col("_w") * F.col("y")) / F.sum("_w")).alias("y"))
+    places = F.array_distinct(F.array(*[bucket(F.col("q") + s * F.col("_d")) + k for s in (-1, 1) for k in (-1, 0, 1)]))
+    left = near.withColumn("_b", F.explode(places))
+    right = data.select(*keys, F.col("x").cast("double").alias("x"), "y").withColumn("_b", bucket(F.col("x")))
+    gap = ((F.col("q") - F.col("x")) ** 2 - F.col("_d") ** 2) / F.lit(2 * sigma * sigma)
+    both = left.join(right, [*keys, "_b"]).withColumn("_g", gap).where(F.col("_g") <= reach * reach / 2).withColumn("_w", F.exp(-F.col("_g")))
+    return both.groupBy(*keys, "q").agg((F.sum(F.col("_w") * F.col("y")) / F.sum("_w")).alias("y"), (F.max("_w") / F.sum("_w")).alias("_share"))

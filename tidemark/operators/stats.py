@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,53 +32,70 @@ def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def tukey_q(df: DataFrame, group: str, value: str) -> DataFrame:
-    """g1, g2, q, dof of every pair of groups: studentized range statistics with the pooled variance."""
+    """g1, g2, q, dof, groups of every pair of groups: studentized range statistics with the pooled variance. Null q where there is none."""
     m = group_moments(df, group, value)
-    pooled = m.agg((F.sum((F.col("n") - 1) * F.col("vs")) / F.sum(F.col("n") - 1)).alias("mse"), F.sum(F.col("n") - 1).alias("dof"))
+    rest = F.sum(F.col("n") - 1)
+    pooled = m.agg(F.try_divide(F.sum((F.col("n") - 1) * F.coalesce("vs", F.lit(0.0))), rest).alias("mse"), rest.alias("dof"), F.count("*").alias("groups"))
     a, b = m.select(F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("m").alias("m1")), m.select(F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("m").alias("m2"))
     pairs = a.join(b, F.col("g1") < F.col("g2")).join(pooled)
-    q = F.abs(F.col("m1") - F.col("m2")) / F.sqrt(F.col("mse") / 2 * (1 / F.col("n1") + 1 / F.col("n2")))
-    return pairs.select("g1", "g2", q.alias("q"), "dof")
+    q = F.try_divide(F.abs(F.col("m1") - F.col("m2")), F.sqrt(F.col("mse") / 2 * (F.try_divide(F.lit(1), F.col("n1")) + F.try_divide(F.lit(1), F.col("n2")))))
+    return pairs.select("g1", "g2", q.alias("q"), "dof", "groups")
 
 
 def games_howell_q(df: DataFrame, group: str, value: str) -> DataFrame:
-    """g1, g2, q, dof without equal variances; population variances, as the reference method has them."""
-    m = group_moments(df, group, value).withColumn("s", F.col("vp") / F.col("n"))
+    """g1, g2, q, dof, groups without equal variances; population variances, as the reference method has them. Null where a group has one row."""
+    m = group_moments(df, group, value).withColumn("s", F.try_divide(F.col("vp"), F.col("n")))
     a = m.select(*[F.col(c).alias(c + "1") for c in ("g", "n", "m", "s")])
     b = m.select(*[F.col(c).alias(c + "2") for c in ("g", "n", "m", "s")])
     s = F.col("s1") + F.col("s2")
-    dof = s * s / (F.col("s1") ** 2 / (F.col("n1") - 1) + F.col("s2") ** 2 / (F.col("n2") - 1))
-    return a.join(b, F.col("g1") < F.col("g2")).select("g1", "g2", (F.abs(F.col("m1") - F.col("m2")) / F.sqrt(s / 2)).alias("q"), dof.alias("dof"))
+    single = (F.col("n1") < 2) | (F.col("n2") < 2)
+    dof = F.when(~single, F.try_divide(s * s, F.try_divide(F.col("s1") ** 2, F.col("n1") - 1) + F.try_divide(F.col("s2") ** 2, F.col("n2") - 1)))
+    q = F.when(~single, F.try_divide(F.abs(F.col("m1") - F.col("m2")), F.sqrt(s / 2)))
+    return a.join(b, F.col("g1") < F.col("g2")).join(m.agg(F.count("*").alias("groups"))).select("g1", "g2", q.alias("q"), dof.alias("dof"), "groups")
 
 
 def studentized_range_sf(q: float, groups: int, dof: float) -> float:
-    """Upper tail of the studentized range, by quadrature over the normal and the chi densities."""
+    """Upper tail of the studentized range, by quadrature over the normal and the chi densities, at any degrees of freedom."""
+    if q is None or dof is None or math.isnan(q) or math.isnan(dof):
+        return float("nan")
     if not q > 0:
         return 1.0
-    phi = np.vectorize(lambda z: 0.5 * math.erfc(-z / math.sqrt(2)))
     z = np.linspace(-8, 8, 801)
     density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    below = phi(z)
+    fine = np.linspace(-30, 8, 7601)
+    phi = np.concatenate([[0], np.cumsum((np.exp(-fine[1:] ** 2 / 2) + 4 * np.exp(-((fine[1:] + fine[:-1]) / 2) ** 2 / 2) + np.exp(-fine[:-1] ** 2 / 2)) / 6 * np.diff(fine))]) / math.sqrt(2 * math.pi)
+    below = np.interp(z, fine, phi)
 
     def inner(r: float) -> float:
-        return float(np.trapezoid(groups * density * (below - phi(z - r)) ** (groups - 1), z))
+        return float(np.trapezoid(groups * density * (below - np.interp(z - r, fine, phi, left=0.0)) ** (groups - 1), z))
 
-    if dof > 5000:
-        return max(0.0, 1 - inner(q))
-    s = np.linspace(1e-3, 1 + 8 / math.sqrt(2 * dof), 121)
-    log_chi = math.log(2) + dof / 2 * math.log(dof / 2) - math.lgamma(dof / 2) + (dof - 1) * np.log(s) - dof * s * s / 2
-    weight = np.exp(log_chi)
+    width = 8 / math.sqrt(2 * dof)
+    s = np.linspace(max(1e-3, 1 - width), 1 + width, 201)
+    log_chi = (dof - 1) * np.log(s) - dof * (s * s - 1) / 2
+    weight = np.exp(log_chi - log_chi.max())
     return max(0.0, min(1.0, 1 - float(np.trapezoid(weight * np.array([inner(q * x) for x in s]), s) / np.trapezoid(weight, s))))
 
 
-def with_p(pairs: DataFrame, groups: int) -> DataFrame:
-    """Adds p to (g1, g2, q, dof); rows are pairs of groups, so few."""
+def with_p(pairs: DataFrame) -> DataFrame:
+    """Adds p to (g1, g2, q, dof, groups); rows are pairs of groups, so few. Null where q is."""
 
     @F.pandas_udf("double")
-    def p(q: pd.Series, dof: pd.Series) -> pd.Series:
-        return pd.Series([studentized_range_sf(a, groups, b) for a, b in zip(q, dof, strict=True)])
+    def p(q: pd.Series, dof: pd.Series, groups: pd.Series) -> pd.Series:
+        return pd.Series([studentized_range_sf(a, n, b) for a, b, n in zip(q, dof, groups, strict=True)])
 
-    return pairs.withColumn("p", p("q", F.col("dof").cast("double")))
+    return pairs.withColumn("p", F.when(F.col("q").isNotNull() & F.col("dof").isNotNull(), p("q", F.col("dof").cast("double"), "groups")))
+
+
+def tukey_letters(pairs: DataFrame, df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """g, letters of every group, from (g1, g2, p): groups that share a letter do not differ at alpha; "a" is lowest. Rows are groups and pairs of them."""
+    means = df.groupBy(F.col(group).cast("string").alias("g")).agg(F.avg(value).alias("m"))
+    one = pairs.select(F.lit(0).alias("_k"), F.col("g1").cast("string").alias("g1"), F.col("g2").cast("string").alias("g2"), "p")
+
+    def run(ps: pd.DataFrame, ms: pd.DataFrame) -> pd.DataFrame:
+        found = letters({(a, b): p for a, b, p in zip(ps.g1, ps.g2, ps.p, strict=True) if p == p}, dict(zip(ms.g, ms.m, strict=True)), alpha)
+        return pd.DataFrame(sorted(found.items()), columns=["g", "letters"])
+
+    return one.groupBy("_k").cogroup(means.withColumn("_k", F.lit(0)).groupBy("_k")).applyInPandas(run, "g string, letters string")
 
 
 def letters(p: dict[tuple[str, str], float], means: dict[str, float], alpha: float = 0.05) -> dict[str, str]:
@@ -104,107 +122,107 @@ def letters(p: dict[tuple[str, str], float], means: dict[str, float], alpha: flo
     return {a: "".join(chr(97 + k) for k, c in enumerate(cliques) if a in c) for a in names}
 
 
-def bootstrap_means(df: DataFrame, key: str, value: str, times: int, seed: int = 0) -> DataFrame:
-    """rep, mean of ``times`` resamples with replacement, by Poisson weights: no join, one pass, any size.
+def hashed(key: Column, rep: int, seed: int = 0) -> Column:
+    """A number in [0, 1) for a key of any type and a replicate."""
+    return F.pmod(F.xxhash64(key, F.lit(rep), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
 
-    Each row weighs as often as a Poisson draw of its key and the replicate says, so a resample's size varies as it would.
+#: A prime under 2**31: products of remainders fit 64 bits.
+PRIME = 2147483647
+
+
+def congruential(key: Column, rep: int, seed: int = 0) -> Column:
+    """The same for whole numbers, in arithmetic that any SQL engine has: three squarings modulo a prime."""
+    h = F.pmod(key.cast("long") * 48271 + (rep + 1) * 69621 + seed + 1, F.lit(PRIME))
+    for k in (16807, 39373, 742938285):
+        h = F.pmod(h * h + h * F.lit(k % 65536) + F.lit(k), F.lit(PRIME))
+    return h / F.lit(float(PRIME))
+
+
+def bootstrap(df: DataFrame, key: str, times: int, statistic, seed: int = 0, draw=hashed) -> DataFrame:
+    """rep, value of ``times`` resamples with replacement, by Poisson weights: one pass, nothing copied, any size.
+
+    ``statistic(w)`` is an aggregate in which a row counts w times, such as weighted_mean("x"). A row's weight
+    is a Poisson draw of its key and the replicate, so a resample's size varies as it would.
     """
-    u = F.pmod(F.xxhash64(F.col(key), F.col("rep"), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    weight, tail = F.lit(0), 0.0
-    for k in range(0, 9):
-        tail += math.exp(-1) / math.factorial(k)
-        weight = weight + F.when(u >= tail, 1).otherwise(0)
-    reps = df.select(key, value).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    reps = reps.withColumn("_w", weight)
-    return reps.groupBy("rep").agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("mean"))
+    # A replicate's draw is a column of its own, so that it is made once.
+    draws = df.select("*", *[draw(F.col(key), r, seed).alias(f"_u{r}") for r in range(times)])
+    tails = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+    count = lambda r: sum((F.when(F.col(f"_u{r}") >= t, 1).otherwise(0) for t in tails[1:]), F.when(F.col(f"_u{r}") >= tails[0], 1).otherwise(0))
+    one = draws.agg(*[statistic(count(r)).alias(f"_v{r}") for r in range(times)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rep"), F.col(f"_v{r}").alias("value")) for r in range(times)])).alias("r")).select("r.*")
 
 
-def fit_line(df: DataFrame, keys: list[str], x: str, y: str, form: str = "linear") -> DataFrame:
-    """keys, a, b, r2: y = a x + b (linear), a x (slope, b null), a log x + b (log), b x^a (power), b e^(a x) (exp)."""
-    u = F.log(x) if form in ("log", "power") else F.col(x)
-    v = F.log(y) if form in ("power", "exp") else F.col(y)
-    s = df.select(*keys, u.cast("double").alias("_u"), v.cast("double").alias("_v"))
-    if form == "slope":
-        a = F.sum(F.col("_u") * F.col("_v")) / F.sum(F.col("_u") ** 2)
-        out = s.groupBy(*keys).agg(a.alias("a"), (1 - (F.sum(F.col("_v") ** 2) - a * F.sum(F.col("_u") * F.col("_v"))) / (F.var_pop("_v") * F.count("*"))).alias("r2"))
-        return out.select(*keys, "a", F.lit(None).cast("double").alias("b"), "r2")
-    out = s.groupBy(*keys).agg(F.regr_slope("_v", "_u").alias("a"), F.regr_intercept("_v", "_u").alias("b"), F.regr_r2("_v", "_u").alias("r2"))
-    return out.withColumn("b", F.exp("b")) if form in ("power", "exp") else out
+def weighted_mean(value: str):
+    return lambda w: F.sum(w * F.col(value)) / F.sum(w)
 
 
-FORMS = {
-    "expc": (lambda x, p: p[0] * np.exp(p[1] * x) + p[2], 3),
-    "cos": (lambda x, p: p[0] * np.cos(p[1] * x + p[2]), 3),
-    "exp": (lambda x, p: p[0] * np.exp(p[1] * x), 2),
-    "power": (lambda x, p: p[0] * np.power(x, p[1]), 2),
-    "quadratic": (lambda x, p: p[0] * x * x + p[1] * x + p[2], 3),
-}
+def weighted_deviation(value: str):
+    """Root mean square deviation."""
+    return lambda w: F.sqrt(F.sum(w * F.col(value) * F.col(value)) / F.sum(w) - F.pow(F.sum(w * F.col(value)) / F.sum(w), F.lit(2.0)))
 
 
-def levenberg(f, x: np.ndarray, y: np.ndarray, p: np.ndarray, sigma: np.ndarray | None = None, rounds: int = 200):
-    """Least squares of (y - f(x, p)) / sigma: parameters, covariance, chi squared."""
-    w = 1 / sigma if sigma is not None else np.ones_like(y)
-    p, damp = np.array(p, float), 1e-3
+def bootstrap_means(df: DataFrame, key: str, value: str, times: int, seed: int = 0) -> DataFrame:
+    return bootstrap(df, key, times, weighted_mean(value), seed).withColumnRenamed("value", "mean")
 
-    def jacobian(p):
-        cols = []
-        for k in range(len(p)):
-            h = 1e-6 * max(1.0, abs(p[k]))
-            d = np.zeros_like(p)
-            d[k] = h
-            cols.append((f(x, p + d) - f(x, p - d)) / (2 * h))
-        return np.stack(cols, 1) * w[:, None]
 
-    r = (y - f(x, p)) * w
-    cost = r @ r
-    for _ in range(rounds):
-        j = jacobian(p)
-        a, g = j.T @ j, j.T @ r
-        step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), g, rcond=None)[0]
-        trial = (y - f(x, p + step)) * w
-        new = trial @ trial
-        if np.isfinite(new) and new <= cost:
-            done = cost - new <= 1e-12 * max(cost, 1e-300)
-            p, r, cost, damp = p + step, trial, new, damp / 5
-            if done:
-                break
-        else:
-            damp *= 5
-            if damp > 1e12:
-                break
-    j = jacobian(p)
-    cov = np.linalg.pinv(j.T @ j)
-    dof = max(1, len(x) - len(p))
-    return p, cov * (cost / dof), cost
+def resample(df: DataFrame, key: str, reps: int = 1, seed: int = 0, draw=hashed, buckets: int = 64) -> DataFrame:
+    """rep, times and df's columns: exact resamples, n draws of n rows with replacement; rows never drawn are left out.
+
+    Rows are numbered in order of a hash of their key within buckets, which begin where those before end, so
+    no task numbers them all. Draws are counted by the number they fall on before they meet the rows.
+    """
+    tagged = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    sizes = {r["_b"]: r["n"] for r in tagged.groupBy("_b").agg(F.count("*").alias("n")).collect()}  # one row a bucket
+    first, total = {}, 0
+    for b in range(buckets):
+        first[b] = total
+        total += sizes.get(b, 0)
+    begin = F.create_map(*[F.lit(x) for p in first.items() for x in p])
+    numbered = tagged.withColumn("_i", begin[F.col("_b")] + F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(key), key)) - 1).drop("_b")
+    out = None
+    for rep in range(reps):
+        pick = F.least(F.floor(draw(F.col("id"), rep, seed) * total), F.lit(max(total - 1, 0))).alias("_i")
+        counts = df.sparkSession.range(total).select(pick).groupBy("_i").agg(F.count("*").alias("times")).withColumn("rep", F.lit(rep))
+        out = counts if out is None else out.unionByName(counts)
+    return numbered.join(out, "_i").select("rep", "times", *df.columns)
 
 
-def fit_curve(df: DataFrame, keys: list[str], x: str, y: str, form: str, start: list[float], sigma: str | None = None) -> DataFrame:
-    """keys, p, s, chi2, r2 by Levenberg and Marquardt's method; a task holds one series."""
-    f, n = FORMS[form]
-    cols = [F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *([F.col(sigma).cast("double").alias("e")] if sigma else [])]
-    schema = df.select(*keys).withColumn("p", F.array(F.lit(0.0))).withColumn("s", F.array(F.lit(0.0))).withColumn("chi2", F.lit(0.0)).withColumn("r2", F.lit(0.0)).schema
+def fit_line(df: DataFrame, keys: list[str], x: str, y: str, form: str = "linear") -> DataFrame:
+    """keys, a, b, r2: y = a x + b (linear), a x (slope, b null), a log x + b (log), b x^a (power), b e^(a x) (exp).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values(["x", "y"])
-        xx, yy = pdf.x.to_numpy(), pdf.y.to_numpy()
-        p, cov, cost = levenberg(f, xx, yy, np.array(start[:n]), pdf.e.to_numpy() if sigma else None)
-        rest = ((yy - f(xx, p)) ** 2).sum()
-        total = ((yy - yy.mean()) ** 2).sum()
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame(head | {"p": [p.tolist()], "s": [np.sqrt(np.abs(np.diag(cov))).tolist()], "chi2": [float(cost)], "r2": [float(1 - rest / total) if total else 1.0]})
+    One aggregate. Rows with a null, or with a logarithm of no number, do not count; null where x does not vary
+    (for a slope: is all 0). fits.fit() has errors and covariances, and fits the curved forms themselves.
+    """
+    u = F.log(x) if form in ("log", "power") else F.col(x)
+    v = F.log(y) if form in ("power", "exp") else F.col(y)
+    s = df.select(*keys, u.cast("double").alias("_u"), v.cast("double").alias("_v"))
+    if form == "slope":
+        s = s.where("_u IS NOT NULL AND _v IS NOT NULL")
+        a = F.try_divide(F.sum(F.col("_u") * F.col("_v")), F.sum(F.col("_u") ** 2))
+        out = s.groupBy(*keys).agg(a.alias("a"), (1 - F.try_divide(F.sum(F.col("_v") ** 2) - a * F.sum(F.col("_u") * F.col("_v")), F.var_pop("_v") * F.count("*"))).alias("r2"))
+        return out.select(*keys, "a", F.lit(None).cast("double").alias("b"), "r2")
+    out = s.groupBy(*keys).agg(F.regr_slope("_v", "_u").alias("a"), F.regr_intercept("_v", "_u").alias("b"), F.regr_r2("_v", "_u").alias("r2"))
+    return out.withColumn("b", F.exp("b")) if form in ("power", "exp") else out
 
-    return df.select(*keys, *cols).groupBy(*keys).applyInPandas(run, schema)
 
+def em_step(df: DataFrame, x: str, weight: list[float], mean: list[float], var: list[float], pull: float = 0.0, times: str | None = None) -> DataFrame:
+    """k, weight, mean, var, n, likelihood after one round of expectation and maximisation, as sums over the rows.
 
-def em_step(df: DataFrame, x: str, weight: list[float], mean: list[float], var: list[float]) -> DataFrame:
-    """k, weight, mean, var after one round of expectation and maximisation, as sums over the rows."""
-    v = F.col(x)
+    ``pull`` holds variances off 0: (sum + pull) / (n + pull). ``times``: a column of how often a row counts.
+    """
+    v, c = F.col(x).cast("double"), F.lit(1.0) if times is None else F.col(times).cast("double")
     dens = [F.lit(w / math.sqrt(2 * math.pi * s)) * F.exp(-((v - m) ** 2) / (2 * s)) for w, m, s in zip(weight, mean, var, strict=True)]
-    total = sum(dens[1:], dens[0])
-    sums = df.select(v.alias("_x"), *[(d / total).alias(f"_r{k}") for k, d in enumerate(dens)])
+    each = df.where(v.isNotNull()).select(v.alias("_x"), c.alias("_c"), *[d.alias(f"_d{k}") for k, d in enumerate(dens)])
+    total = sum((F.col(f"_d{k}") for k in range(1, len(dens))), F.col("_d0"))
+    each = each.select("_x", "_c", total.alias("_t"), *[(F.col("_c") * F.col(f"_d{k}") / (total + 1e-300)).alias(f"_r{k}") for k in range(len(dens))])
     aggs = [a for k in range(len(weight)) for a in (F.sum(f"_r{k}").alias(f"n{k}"), F.sum(F.col(f"_r{k}") * F.col("_x")).alias(f"s{k}"), F.sum(F.col(f"_r{k}") * F.col("_x") ** 2).alias(f"q{k}"))]
-    one = sums.agg(F.count("*").alias("n"), *aggs)
-    rows = [F.struct(F.lit(k).alias("k"), (F.col(f"n{k}") / F.col("n")).alias("weight"), (F.col(f"s{k}") / F.col(f"n{k}")).alias("mean"), (F.col(f"q{k}") / F.col(f"n{k}") - (F.col(f"s{k}") / F.col(f"n{k}")) ** 2).alias("var")) for k in range(len(weight))]
+    one = each.agg(F.sum("_c").alias("n"), F.sum(F.col("_c") * F.log(F.col("_t") + 1e-300)).alias("ll"), *aggs)
+    rows = []
+    for k in range(len(weight)):
+        n, s, q = F.col(f"n{k}"), F.col(f"s{k}"), F.col(f"q{k}")
+        var_k = F.try_divide(q - F.try_divide(s * s, n) + pull, n + pull)
+        rows.append(F.struct(F.lit(k).alias("k"), F.try_divide(n, F.col("n")).alias("weight"), F.try_divide(s, n).alias("mean"), var_k.alias("var"), F.col("n").alias("n"), F.col("ll").alias("likelihood")))
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -220,3 +238,76 @@ def mixture(df: DataFrame, x: str, k: int, rounds: int = 100, tolerance: float =
         if moved < tolerance:
             break
     return state
+
+
+@dataclass
+class Mixture:
+    """Gaussians in one dimension whose number is searched for: (weight, mean, variance) of each, and the score of every state kept."""
+
+    state: list[tuple[float, float, float]]
+    scores: list[float]
+
+
+def split_merge_mixture(df: DataFrame, x: str, k: int, tolerance: float = 1e-3, pull: float = 0.01, rounds: int = 100, candidates: int = 5, nudge: float = 1.0, seed: int = 0) -> Mixture:
+    """Expectation and maximisation with moves: merges and splits in turn, each kept if the score grows, until both fail.
+
+    The score is the log likelihood less half the log of n for each of 3 numbers a Gaussian. Candidates for a
+    merge are the pairs with the largest products of their shares, for a split those whose shares differ most
+    from their curve. Equal values are counted first, so a round is an aggregate over the distinct ones.
+    """
+    counts = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(F.col(x).cast("double").alias("_v")).agg(F.count("*").alias("_n")).persist()
+    rng = np.random.default_rng(seed)
+    n, spread = counts.agg(F.sum("_n"), F.sum(F.col("_n") * F.col("_v") ** 2) / F.sum("_n") - F.pow(F.sum(F.col("_n") * F.col("_v")) / F.sum("_n"), F.lit(2.0))).first()
+    if not n:
+        return Mixture([], [])
+
+    def settle(state):
+        old = None
+        for _ in range(rounds):
+            got = em_step(counts, "_v", *map(list, zip(*state, strict=True)), pull=pull, times="_n").orderBy("k").collect()
+            likelihood = got[0]["likelihood"]
+            if old is not None and abs((likelihood - old) / likelihood) < tolerance:
+                break
+            old = likelihood
+            state = [(r["weight"], r["mean"] if r["mean"] is not None else s[1], max(r["var"] if r["var"] is not None else s[2], 1e-9)) for r, s in zip(got, state, strict=True)]
+        return state, old - 0.5 * math.log(n) * 3 * len(state)
+
+    def merits(state):
+        v, c = F.col("_v"), F.col("_n")
+        dens = [F.lit(1 / math.sqrt(2 * math.pi * s)) * F.exp(-((v - m) ** 2) / (2 * s)) for _, m, s in state]
+        rows = counts.select("_n", *[d.alias(f"_g{i}") for i, d in enumerate(dens)])
+        total = sum((F.lit(state[i][0]) * F.col(f"_g{i}") for i in range(1, len(state))), F.lit(state[0][0]) * F.col("_g0")) + 1e-300
+        rows = rows.select("_n", *[F.col(f"_g{i}") for i in range(len(state))], *[(F.lit(state[i][0]) * F.col(f"_g{i}") / total).alias(f"_r{i}") for i in range(len(state))])
+        sums = rows.agg(*[F.sum(c * F.col(f"_r{i}")) for i in range(len(state))]).first()
+        pairs = [(i, j) for i in range(len(state)) for j in range(i + 1, len(state))]
+        share = [F.col(f"_r{i}") / (sums[i] + 1e-300) for i in range(len(state))]
+        apart = [F.sum(F.when(share[i] > 1e-5, c * share[i] * F.log(share[i] / (F.col(f"_g{i}") + 1e-5))).otherwise(0.0)) for i in range(len(state))]
+        got = rows.agg(*apart, *[F.sum(c * F.col(f"_r{i}") * F.col(f"_r{j}")) for i, j in pairs]).first()
+        split = sorted(range(len(state)), key=lambda i: -(got[i] or 0))
+        merge = [p for _, p in sorted(((-(got[len(state) + q] or 0), p) for q, p in enumerate(pairs)))]
+        return merge[:candidates], split[:candidates]
+
+    low, high = counts.agg(F.min("_v"), F.max("_v")).first()
+    state, score = settle([(1 / k, m, max(spread / 40, 1e-9)) for m in (low + (high - low) * rng.random(k)).tolist()])
+    scores, merging, fails = [score], True, 0
+    while fails < 2:
+        merge, split = merits(state)
+        for move in merge if merging else split:
+            if merging:
+                i, j = move
+                (w0, m0, s0), (w1, m1, s1) = state[i], state[j]
+                trial = [s for q, s in enumerate(state) if q not in (i, j)] + [(w0 + w1, (m0 + m1) / 2, (s0 + s1) / 2)]
+            else:
+                w0, m0, s0 = state[move]
+                one, two = (m0 + nudge * math.sqrt(s0) * float(z) for z in rng.standard_normal(2))
+                trial = [s for q, s in enumerate(state) if q != move] + [(w0 / 2, one, s0), (w0 / 2, two, s0)]
+            trial, score = settle(trial)
+            if score > scores[-1]:
+                state, fails = trial, 0
+                scores.append(score)
+                break
+        else:
+            fails += 1
+            merging = not merging
+    counts.unpersist()
+    return Mixture(sorted(state, key=lambda s: s[1]), scores)
