@@ -10,7 +10,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import coerce, initial_caps
@@ -51,28 +51,53 @@ def waveform(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(y)) * scale["Xin"] + scale["Xze"], (y - scale["Yof"]) * scale["Ymu"] + scale["Yze"]
 
 
-def read_waveforms(spark: SparkSession, path: str) -> DataFrame:
-    """file, i, t, x of every waveform file; a task holds one file at a time."""
+def read_waveforms(spark: SparkSession, path: str | list[str], resample: int | None = None) -> DataFrame:
+    """file, i, t, x of every waveform file; with ``resample`` means of so many samples, a short rest left out. A task holds one file at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for name, raw in zip(pdf.path, pdf.content, strict=True):
                 t, y = waveform(bytes(raw))
+                if resample is not None:
+                    n = len(t) // resample * resample
+                    t, y = (v[:n].reshape(-1, resample).mean(1) for v in (t, y))
                 yield pd.DataFrame({"file": name, "i": np.arange(len(t)), "t": t, "x": y})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "file string, i long, t double, x double")
 
 
+def read_scope(spark: SparkSession, prefix: str, resample: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(channel, i, t, x) of one capture, and its settings: ``<prefix>.SET`` says which channels are on, ``<prefix>CH<k>.ISF`` hold them."""
+    prefix = prefix[:-4] if prefix.endswith(".SET") else prefix
+    settings = read_settings(spark, prefix + ".SET")
+    switch = settings.where((F.element_at("path", 1) == "Select") & F.element_at("path", -1).rlike("^Ch[0-9]+$") & (F.coalesce("value.i", F.lit(0)) > 0))
+    on = sorted(int(r["c"]) for r in switch.select(F.regexp_extract(F.element_at("path", -1), "([0-9]+)", 1).alias("c")).distinct().collect())  # channels of an instrument
+    if not on:
+        raise ValueError("no channel is on")
+    waves = read_waveforms(spark, [f"{prefix}CH{k}.ISF" for k in on], resample)
+    return waves.select(F.regexp_extract("file", r"CH(\d+)\.ISF$", 1).cast("int").alias("channel"), "i", "t", "x"), settings
+
+
 def read_scope_csv(spark: SparkSession, path: str) -> DataFrame:
-    """channel, i, t, x of a folder's ``*.CSV``: columns 3 and 4 are time and level; the channel is the digit before the suffix."""
-    raw = spark.read.text(path).withColumn("file", F.col("_metadata.file_path")).withColumn("_n", F.monotonically_increasing_id())
-    cell = F.split("value", ",")
-    rows = raw.select(F.regexp_extract("file", r"(?i)(\d)\.CSV$", 1).cast("int").alias("channel"), "file", "_n", F.trim(cell[3]).try_cast("double").alias("t"), F.trim(cell[4]).try_cast("double").alias("x"))
-    from pyspark.sql import Window
+    """file, channel, i, t, x of a folder's ``*.CSV``: columns 3 and 4 are time and level; the channel is the digit before the suffix.
 
+    A file is one record of an instrument, small beside a task, and is read whole, so its rows keep their order.
+    """
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("_n", "_l"))
+    cell = F.split("_l", ",")
+    rows = lines.select("file", F.regexp_extract("file", r"(?i)(\d)\.CSV$", 1).try_cast("int").alias("channel"), "_n", F.trim(F.get(cell, F.lit(3))).try_cast("double").alias("t"), F.trim(F.get(cell, F.lit(4))).try_cast("double").alias("x"))
     i = F.row_number().over(Window.partitionBy("file").orderBy("_n")) - 1
-    return rows.where("t IS NOT NULL AND x IS NOT NULL").select("channel", i.cast("long").alias("i"), "t", "x")
+    return rows.where("t IS NOT NULL AND x IS NOT NULL").select("file", "channel", i.cast("long").alias("i"), "t", "x")
+
+
+def read_scope_settings(spark: SparkSession, path: str) -> DataFrame:
+    """file, key, value of a folder's ``*.CSV``: columns 0 and 1 of the rows that name a setting."""
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    lines = whole.select("file", F.explode(F.split("value", r"\r?\n")).alias("_l"))
+    cell = F.split("_l", ",")
+    return lines.select("file", F.trim(F.get(cell, F.lit(0))).alias("key"), coerce(F.trim(F.get(cell, F.lit(1)))).alias("value")).where("key <> ''")
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
