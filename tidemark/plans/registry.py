@@ -17,12 +17,12 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import queries as _  # noqa: F401  registers them
+    from . import color_queries, queries, source_queries  # noqa: F401  registers them
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import queries as _  # noqa: F401
+    from . import color_queries, queries, source_queries  # noqa: F401
 
     return dict(ORACLES)
