@@ -525,11 +525,11 @@ _LOGIT = "-ln(1 / greatest(1e-15, least(1 - 1e-15, {0} * {0})) - 1)"
     _COH + f""", t AS (SELECT p.k, p.b, sqrt((c.re - p.re) ^ 2 + (c.im - p.im) ^ 2) / sqrt((c.xx - p.xx) * (c.yy - p.yy)) AS m, (c.re - p.re) / sqrt((c.re - p.re) ^ 2 + (c.im - p.im) ^ 2) AS ur, (c.im - p.im) / sqrt((c.re - p.re) ^ 2 + (c.im - p.im) ^ 2) AS ui FROM p JOIN c USING (k, b)),
     j AS (SELECT k, b, sqrt(0.8 * var_pop({_LOGIT.format('m')}) * 5) AS sd, sqrt(greatest(0, 8 * (1 - sqrt(avg(ur) ^ 2 + avg(ui) ^ 2)))) AS turn FROM t GROUP BY k, b),
     a AS (SELECT k, b, sqrt(re * re + im * im) / sqrt(xx * yy) AS mag, sd, turn FROM c JOIN j USING (k, b))
-    SELECT k, CAST(b AS INTEGER) AS bin, b / 64.0::DOUBLE AS f, mag, 1 / sqrt(1 + exp(-({_LOGIT.format('mag')} - 1.959963984540054 * sd))) AS mag_lo, 1 / sqrt(1 + exp(-({_LOGIT.format('mag')} + 1.959963984540054 * sd))) AS mag_hi, 2 * 1.959963984540054 * turn AS phase_width FROM a""",
+    SELECT k, CAST(b AS INTEGER) AS bin, b / 64.0::DOUBLE AS f, mag, 1 / sqrt(1 + exp(-({_LOGIT.format('mag')} - 1.959963984540054 * sd))) AS mag_lo, 1 / sqrt(1 + exp(-({_LOGIT.format('mag')} + 1.959963984540054 * sd))) AS mag_hi, round(2 * 1.959963984540054 * turn, 5) AS phase_width FROM a""",
 )
 def multitaper_coherence_limits(spark, d):
     got = P.multitaper_coherence_limits(_with_reference(spark, d), ["k"])
-    return got.select("k", "bin", "f", "mag", "mag_lo", "mag_hi", (F.col("phase_hi") - F.col("phase_lo")).alias("phase_width"))
+    return got.select("k", "bin", "f", "mag", "mag_lo", "mag_hi", F.round(F.col("phase_hi") - F.col("phase_lo"), 5).alias("phase_width"))
 
 
 @query("multitaper_psd_each", _psd_sql().replace("SELECT k, CAST(bin AS INTEGER) AS bin, bin / 64.0::DOUBLE AS f, avg(p) AS power FROM p GROUP BY k, bin", "SELECT k, CAST(j AS INTEGER) AS taper, CAST(bin AS INTEGER) AS bin, bin * 4 / 64.0::DOUBLE AS f, p AS power FROM p"))
@@ -634,7 +634,7 @@ _PRE = "chr(10) || 'G90 G94 G17' || chr(10) || 'G20' || chr(10) || 'G53 G0 Z0.'
 
 @query(
     "machine_passages",
-    f"""SELECT s_suppkey, {_PRE.format('s_suppkey')} AS preamble, chr(10) || 'M30' || chr(10) AS ending, chr(10) || 'G53 G0 Z0.' || chr(10) || 'G55' || chr(10) || 'M11' || chr(10) || printf('G0 A%.2f C%.2f', s_acctbal / 100, s_nationkey * 1.0::DOUBLE) || chr(10) || 'M10 ' || chr(10) AS turn,
+    f"""SELECT s_suppkey, {_PRE.format('s_suppkey')} AS preamble, chr(10) || 'M30' || chr(10) AS ending, chr(10) || 'G53 G0 Z0.' || chr(10) || 'G55' || chr(10) || 'M11' || chr(10) || printf('G0 A%.2f C%.2f', s_acctbal / 97, s_nationkey * 1.0::DOUBLE) || chr(10) || 'M10 ' || chr(10) AS turn,
     'S' || s_nationkey || ' M3' || chr(10) AS spin, 'M5' || chr(10) || 'M1' || chr(10) AS halt, chr(10) || 'G53 G0 Z0.' || chr(10) || 'M5' || chr(10) || 'M1' || chr(10) AS retract,
     {_PRE.format("'10'")} || chr(10) || 'G103 P1' || chr(10) || chr(10) || '    ' || chr(10) || printf('G0 X%.4f Y%.4f    ', s_nationkey / 25.4, s_suppkey / 25.4) || chr(10) || printf('G0 Z%.4f', (1 + 100) / 25.4::DOUBLE) || chr(10) || 'G65 P9832' || chr(10) || printf('G65 P9810 Z%.4f F%.3f', (1 + 12.5) / 25.4::DOUBLE, 20 * 60 / 25.4::DOUBLE) || chr(10) || 'G103' || chr(10) || chr(10) || '    ' || chr(10) || printf('G65 P9995 W55. A20. H%.3f', -25 / 25.4::DOUBLE) || chr(10) || '    ' AS probe,
     'N10 G0' || chr(10) || 'N20 T' || s_suppkey || chr(10) || 'N30 M30' AS numbered FROM supplier""",
@@ -642,7 +642,7 @@ _PRE = "chr(10) || 'G90 G94 G17' || chr(10) || 'G20' || chr(10) || 'G53 G0 Z0.'
 def machine_passages(spark, d):
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
     return R.table(spark, d, "supplier").select(
-        "s_suppkey", W.preamble(k, "G55").alias("preamble"), W.end().alias("ending"), W.retract_and_rotate(F.col("s_acctbal") / 100, n, "G55").alias("turn"), W.start(n).alias("spin"),
+        "s_suppkey", W.preamble(k, "G55").alias("preamble"), W.end().alias("ending"), W.retract_and_rotate(F.col("s_acctbal") / 97, n, "G55").alias("turn"), W.start(n).alias("spin"),
         W.stop().alias("halt"), W.retract_and_stop().alias("retract"), W.probe_z_at(n, k, F.lit(1.0), system="G55").alias("probe"),
         W.renumber(F.concat(F.lit("G0\nT"), k.cast("string"), F.lit("\nM30"))).alias("numbered"),
     )

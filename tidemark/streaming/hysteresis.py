@@ -28,6 +28,7 @@ def schmitt_stream(stream: DataFrame, key: str, time: str, value: str, on: float
             elif is_open and v > peak:
                 peak = v
         state.update((is_open, up if up is not None else pd.Timestamp(0), float(peak if peak is not None else 0)))
-        yield pd.DataFrame(out, columns=[key, "up", "down", "peak"])
+        if out:
+            yield pd.DataFrame(out, columns=[key, "up", "down", "peak"])
 
     return stream.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, up timestamp, down timestamp, peak double", STATE, "append", GroupStateTimeout.NoTimeout)
