@@ -27,7 +27,7 @@ from .common import release
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-UNIT_BYTES = 14 << 20
+UNIT_BYTES = 10 << 20
 NONE = np.iinfo(np.int32).max
 
 

@@ -170,6 +170,21 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix(h ^ ((end - start).astype(U) * U(0xD6E8FEB86659FD93)))
 
 
+#: Bytes whose sums are held at a time when ranges of a longer text are hashed.
+SPAN = 1 << 20
+
+
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """range_hash() of ranges in ascending order that do not overlap, in memory that follows SPAN and the longest range, not the text."""
+    out, i = np.zeros(len(start), U), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SPAN, "right")))
+        low = start[i]
+        out[i:j] = range_hash(prefix_hash(data[low : end[j - 1]]), start[i:j] - low, end[i:j] - low)
+        i = j
+    return out
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -197,7 +212,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_sep: np.ndarray = SPAC
     """Hash of every word (A-Z as a-z) and the first word of each document."""
     data = LOWER[data]
     start, end, first = word_spans(data, offsets, is_sep)
-    return range_hash(prefix_hash(data), start, end), first
+    return hash_ranges(data, start, end), first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

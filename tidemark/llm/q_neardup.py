@@ -12,7 +12,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of 5-word shingles at 0.8, the document with the smallest id stays."""
+    """Pipeline stage: of each component of 5-word shingles at 0.8, the document with the smallest id stays.
+
+    Rows go by their ids: repeats of a row become one, different texts under one id stay or go together, and
+    rows without an id, which nothing can be said about, stay.
+    """
     own, back = aside(docs, ("_same",))
     found = join(docs.select("doc_id", "text"), words=5, percent=80)
     kept = found.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()

@@ -9,8 +9,9 @@ the shards' k best are merged. Every row stands against every query; nothing is
 
 Defined cases: vectors null, empty, or holding null or non-finite components take no part; neither do
 rows without an id; vectors of another length than the query's are no candidates for it; equal
-scores go to the smaller id; rows that repeat an id count once (the smallest vector). Extra columns are
-harmless, an empty table gives no rows; scores beyond 64 bits raise an error.
+scores go to the smaller id; of rows that repeat an id all are candidates, for other ids' queries, and the
+smallest vector is the query. Extra columns are harmless, an empty table gives no rows; scores beyond 64
+bits raise an error.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ EXACT = 1 << 53
 
 
 def integer_rows(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, xs: floor(scale * x) of each finite vector; one row for each id."""
+    """vec_id, xs: floor(scale * x) of each finite vector."""
     x = F.col("embedding").cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     kept = vectors.where(F.col("vec_id").isNotNull() & (F.size(x) > 0) & finite)
     xs = F.transform(x, lambda v: F.floor(v * float(scale)).cast("long"))
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), xs.alias("xs")).groupBy("vec_id").agg(F.min("xs").alias("xs"))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), xs.alias("xs"))
 
 
 class Shard:
@@ -95,7 +96,8 @@ def search(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     # Consecutive ids share a shard's blocks; runs of ids are dealt to shards by a hash of the run.
     run = F.floor(F.col("vec_id") / F.lit(BLOCK_ROWS))
     left = rows.withColumn("shard", F.pmod(F.xxhash64(run), F.lit(shards)).cast("int")).withColumn("chunk", meet(chunks))
-    right = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "xs", deal(7, chunks).alias("chunk")).withColumn("shard", meet(shards))
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("xs").alias("xs"))
+    right = asked.select(F.col("vec_id").alias("query_id"), "xs", deal(7, chunks).alias("chunk")).withColumn("shard", meet(shards))
     found = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInPandas(
         lambda a, b: search_shard(a, b, k), "query_id long, vec_id long, score long"
     )

@@ -60,7 +60,7 @@ def bag(data: np.ndarray, offsets: np.ndarray):
     """Distinct words of a piece: their spans, and for every word of the piece its document and distinct word."""
     data = C.LOWER[data]
     start, end, first = C.word_spans(data, offsets, IS_SEP)
-    key, one, inverse = np.unique(C.range_hash(C.prefix_hash(data), start, end), return_index=True, return_inverse=True)
+    key, one, inverse = np.unique(C.hash_ranges(data, start, end), return_index=True, return_inverse=True)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     return data, start[one], end[one], doc, inverse
 
