@@ -53,6 +53,15 @@ def test_words_and_shingles_match_plain_python():
         assert len(set(token[doc == d].tolist())) == len(want)
 
 
+def test_long_texts_are_hashed_in_spans(monkeypatch):
+    texts = [*make_texts(20), "x" * 500, " ".join(make_texts(30, 1))]
+    data, offsets = common.text_buffer(pa.array(texts))
+    want = common.word_hashes(data, offsets)
+    monkeypatch.setattr(common, "SPAN", 64)
+    got = common.word_hashes(data, offsets)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
 def test_packed_keys_round_trip():
     keys = np.sort(np.random.default_rng(0).integers(0, 1 << 48, 1000).astype(np.uint64))
     assert (exchange.unpack(exchange.pack(keys)) == keys).all()
@@ -205,6 +214,7 @@ def test_toxicity_learns_words_and_their_misspellings(spark):
     labels = spark.createDataFrame([(k, y) for k, _, y in rows] + [(None, 1), (3, None), (9999, 1)], "doc_id long, toxic int")
     assert np.isfinite(toxicity.fit(docs_of(spark, [(k, t) for k, t, _ in rows]), labels, rows=50).bias)
     none = toxicity.fit(docs_of(spark, ODD), labels.limit(0))
+    assert toxicity.score(docs_of(spark, ODD).limit(0), none).count() == 0 and toxicity.fit(docs_of(spark, ODD).limit(0), labels).bias < 0
     assert 0 <= toxicity.score(docs_of(spark, ODD), none).agg(F.max("score")).first()[0] <= 0.5
 
 
@@ -241,11 +251,11 @@ def test_toxicity_scores_equal_a_plain_scorer():
 
 def brute_topk(rows, k, every):
     out = []
-    ok = {i: [math.floor(256 * float(v)) for v in x] for i, x in rows if x and all(v is not None and math.isfinite(v) for v in x)}
-    for q in ok:
-        if q % every == 0:
-            cand = sorted((-sum(a * b for a, b in zip(ok[q], x, strict=True)), i) for i, x in ok.items() if i != q and len(x) == len(ok[q]))[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(cand)]
+    ok = [(i, [math.floor(256 * float(v)) for v in x]) for i, x in rows if i is not None and x and all(v is not None and math.isfinite(v) for v in x)]
+    for q in sorted({i for i, _ in ok if i % every == 0}):
+        asked = min(x for i, x in ok if i == q)
+        cand = sorted((-sum(a * b for a, b in zip(asked, x, strict=True)), i) for i, x in ok if i != q and len(x) == len(asked))[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(cand)]
     return sorted(out)
 
 
@@ -256,8 +266,8 @@ def test_topk_is_exact(spark, spread, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(i, (rng.normal(size=6) * spread).tolist()) for i in range(300)] + [(i, [0.5, 0.25, 0.0, 0.0, -0.5, 1.0]) for i in range(300, 420)]
     rows += [(500, None), (501, []), (502, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (503, [float("nan")] * 6), (504, [float("inf")] * 6), (510, [1.0, 2.0]), (520, [3.0, 1.0]), (530, [9.0])]
+    rows += [(None, [1.0] * 6), (7, [2.0, 0.0, 0.0, 0.0, 0.0, 3.0]), (10, [9.0] * 6), *rows[:3]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    df = df.union(df.limit(3))
     got = sorted(tuple(r) for r in topk.search(topk.integer_rows(df), F.col("vec_id") % 10 == 0, 5).select("query_id", "rank", "vec_id", "score").collect())
     assert got == brute_topk(rows, 5, 10)
     assert topk.search(topk.integer_rows(df.limit(0)), F.col("vec_id") % 10 == 0, 5).count() == 0
@@ -741,6 +751,69 @@ def test_queries_over_the_small_tables(spark, sf):
     assert all(h == (zlib.crc32(str(d).encode()) % 5 == 0) for d, h in held.items())
 
 
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Each stage over odd rows beside the small table: what goes, what changes, and what the last one counts."""
+    import corpus_pipeline
+
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    odd = [(-1, None), (-2, ""), (-3, "123 !?"), (-4, item), (-5, item.upper() + " and more"), (-6, "mail me at someone.here@mail1.example.com now"), (None, table.first()["text"]), (-7, "word " * 30000)]
+    extra = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in odd], table.schema)
+    docs = table.union(extra).union(table.limit(3)).withColumn("score", F.lit("kept"))
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted(((r["doc_id"] if r["doc_id"] is not None else 10**9, r["text"] or "") for r in df.collect()))
+    # language: the same decision, text by text.
+    out = common.materialize(stages["language"](spark, docs, sf))
+    known = langid.Classifier(langid.fit(docs.select("doc_id", "text", "lang"), F.lit(True)))
+    assert rows(out) == sorted(x for x in rows(docs) if not known.classify(x[1])[2]) and out.columns == docs.columns
+    gone = {x[0] for x in rows(docs)} - {x[0] for x in rows(out)}
+    assert {-1, -2, -3} <= gone
+    # near duplicates: one of each component by brute force, and rows without an id.
+    docs = out.drop("score")
+    out = common.materialize(stages["near_duplicates"](spark, docs, sf))
+    groups = brute_components([(r["doc_id"], r["text"]) for r in docs.where("doc_id IS NOT NULL").collect()], 5, 80)
+    assert rows(out) == sorted({x for x in rows(docs) if x[0] == 10**9 or groups[x[0]][1] == x[0]})
+    # benchmark: every document against every item by plain tiling, where enough windows are shared.
+    docs = out
+    out = common.materialize(stages["benchmark"](spark, docs, sf))
+    items = [words_of(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    windows = [{tuple(i[k : k + 3]) for k in range(len(i) - 2)} for i in items]
+
+    def held(text):
+        ws = words_of(text)
+        mine = {tuple(ws[k : k + 3]) for k in range(len(ws) - 2)}
+        for i, w in zip(items, windows, strict=True):
+            if 3 * len(w & mine) >= 0.8 * len(i) - 1e-9:
+                known = set(i)
+                short = [x if x in known else None for x in ws]
+                if sum(k for *_, k in brute_tiles([x for k, x in enumerate(short) if x or (k and short[k - 1])], i)) >= 0.8 * len(i) - 1e-9:
+                    return True
+        return False
+
+    assert rows(out) == [x for x in rows(docs) if not held(x[1])] and not {-4, -5} & {x[0] for x in rows(out)}
+    # personal data: the base spans' places are hidden, texts without a span are as they were.
+    docs = out
+    out = common.materialize(stages["personal_data"](spark, docs, sf))
+    model = pii.fit(docs.select("doc_id", "text"))
+    want = []
+    for i, t in rows(docs):
+        base = brute_spans(t)
+        spans = sorted(base + model.added(t, base))
+        want.append((i, pii.hide(t, spans) if spans else t))
+    assert rows(out) == sorted(want) and any("[EMAIL]" in t for _, t in want)
+    # encode: counts and digests by the library.
+    lib = tokenizers.Tokenizer.from_file(str(public.path("byte_bpe_50k.json")))
+    lib.no_truncation()
+    lib.no_padding()
+    got = {(r["doc_id"] if r["doc_id"] is not None else 10**9): (r["n_tokens"], r["ids_sha256"]) for r in stages["encode"](spark, out, sf).collect()}
+    for i, t in rows(out):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert got[i] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
 def test_pipeline_keeps_clean_documents_and_applies_each_stage(spark, tmp_path):
     import shutil
 
