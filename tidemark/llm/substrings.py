@@ -39,7 +39,7 @@ from . import exchange as X
 
 LENGTH, WORD, SYMBOL = 200, 32, 8
 WIDTH = LENGTH - WORD + 1
-HOT = 8192
+HOT = 30000
 COLLECTION_BYTES, COLUMN_BYTES = 4 << 20, 1 << 18
 PLACE_BITS = 25
 #: Codes of a block: single; repeated; open; repeated and sent on for its equals; the last two under a hot owner.
