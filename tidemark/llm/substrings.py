@@ -405,7 +405,7 @@ def remove(docs: DataFrame, hot: int = HOT, with_text: bool = False) -> DataFram
 
     opened = C.materialize(by_g.cogroup(found.groupBy("g")).applyInArrow(lambda a, b: C.released(pick)(a, b), "owner int, g int, doc_id long, text_key long, start long, place int, body binary"))
     total = opened.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
-    parts = max(1, -(-total // COLLECTION_BYTES))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // COLLECTION_BYTES))
     schema = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("codes", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("flags", pa.binary())])
 
     def solve(table: pa.Table) -> pa.Table:
