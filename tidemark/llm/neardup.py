@@ -40,7 +40,7 @@ FREQUENT = 1024
 #: Sets of more tokens than this index frequent tokens one by one: their pairs would be too many.
 LONG = 400
 #: Bounds of one block of an area, and of the sets one task holds in bytes.
-BLOCK_TOKENS, BLOCK_ROWS, PART_BYTES = 1 << 18, 256, 4 << 20
+BLOCK_TOKENS, BLOCK_ROWS, PART_BYTES = 1 << 18, 128, 4 << 20
 #: Columns of an incidence matrix at a time.
 COLUMNS = 4096
 SETS = "doc_id long, n long, tokens binary, keys array<long>"
