@@ -40,7 +40,7 @@ from . import exchange as X
 LENGTH, WORD, SYMBOL = 200, 32, 8
 WIDTH = LENGTH - WORD + 1
 HOT = 30000
-COLLECTION_BYTES, COLUMN_BYTES = 4 << 20, 1 << 18
+COLLECTION_BYTES, COLUMN_BYTES = 4 << 20, 1 << 20
 PLACE_BITS = 25
 #: Codes of a block: single; repeated; open; repeated and sent on for its equals; the last two under a hot owner.
 SINGLE, REPEATED, OPEN, HEAD, HOT_OPEN, HOT_HEAD = range(6)
@@ -328,24 +328,28 @@ def _common(lcp: np.ndarray, a: np.ndarray, b: np.ndarray, n_texts: int) -> np.n
 
 
 def repeated_windows(bodies: list[bytes], places: list[int]) -> list[np.ndarray]:
-    """For each block (its bytes, and its owner's place in them) which of its windows are repeated in the collection."""
+    """For each block (its bytes, and its owner's place in them) which of its windows are repeated in the collection.
+
+    Equal windows are equally far from their owners, so the eight alignments are collections of their own.
+    """
     raw = np.frombuffer(b"".join(bodies), np.uint8)
     size = np.array([len(b) for b in bodies])
     first = np.cumsum(size) - size
-    # One text for each block and alignment that has a window: its first byte, and its number of symbols.
-    windows = size - LENGTH + 1
-    block = np.repeat(np.arange(len(bodies)), SYMBOL)
-    start = (np.array(places)[block] + np.tile(np.arange(SYMBOL), len(bodies))) % SYMBOL
-    block, start = block[start < windows[block]], start[start < windows[block]]
-    count = (size[block] - start) // SYMBOL
-    offsets = np.concatenate([[0], np.cumsum(count)])
-    at = np.repeat(first[block] + start - offsets[:-1] * SYMBOL, count) + np.arange(offsets[-1]) * SYMBOL
-    flat = np.zeros(len(at), "<u8")
-    for k in range(SYMBOL):
-        flat |= raw[at + k].astype("<u8") << np.uint64(8 * k)
-    hit = repeated_starts(flat, offsets, LENGTH // SYMBOL)
+    windows, place = size - LENGTH + 1, np.array(places)
     mark = np.zeros(len(raw), bool)
-    mark[at[hit]] = True
+    for k in range(SYMBOL):
+        # One text for each block that has a window of this alignment: its first byte, and its number of symbols.
+        start = (place + k) % SYMBOL
+        block = np.flatnonzero(start < windows)
+        if not len(block):
+            continue
+        count = (size[block] - start[block]) // SYMBOL
+        offsets = np.concatenate([[0], np.cumsum(count)])
+        at = np.repeat(first[block] + start[block] - offsets[:-1] * SYMBOL, count) + np.arange(offsets[-1]) * SYMBOL
+        flat = np.zeros(len(at), "<u8")
+        for i in range(SYMBOL):
+            flat |= raw[at + i].astype("<u8") << np.uint64(8 * i)
+        mark[at[repeated_starts(flat, offsets, LENGTH // SYMBOL)]] = True
     return [mark[a : a + w] for a, w in zip(first.tolist(), windows.tolist(), strict=True)]
 
 
