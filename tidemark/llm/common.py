@@ -7,8 +7,12 @@ whole-array arithmetic (a polynomial prefix sum modulo 2**64), so no Python code
 from __future__ import annotations
 
 import ctypes
+import glob
+import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +38,43 @@ def release() -> None:
         pass
 
 
+@lru_cache
+def _blas():
+    """Functions that read and set the number of threads of the OpenBLAS that numpy brings, or None."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):
+        try:
+            lib = ctypes.CDLL(path)
+        except OSError:
+            continue
+        for name in ("scipy_openblas_{}_num_threads64_", "scipy_openblas_{}_num_threads", "openblas_{}_num_threads64_", "openblas_{}_num_threads"):
+            if hasattr(lib, name.format("set")):
+                return getattr(lib, name.format("get")), getattr(lib, name.format("set"))
+    return None
+
+
+@contextmanager
+def one_thread():
+    """Small matrix products on one thread: tasks already fill the cores, and threads that wait for each other spin."""
+    found = _blas()
+    if found is None:
+        yield
+        return
+    get, put = found
+    before = get()
+    put(1)
+    try:
+        yield
+    finally:
+        put(before)
+
+
 def released(fn):
-    """fn, releasing memory after each call."""
+    """fn on one thread of linear algebra, releasing memory after each call."""
 
     def call(*tables):
         release()
-        out = fn(*tables)
+        with one_thread():
+            out = fn(*tables)
         release()
         return out
 
