@@ -473,6 +473,19 @@ def test_lm_probabilities_sum_to_one_and_windows_are_causal(vocabulary):
     assert set(covered.values()) == {1} and len(covered) == 183
 
 
+def test_words_encoded_in_a_row_equal_each_alone(vocabulary, monkeypatch):
+    tok = pytest.importorskip("public_tokenizers")
+    sub = lm.Subwords(str(tok.path("byte_bpe_50k.tiktoken")), tok.PATTERN)
+    rng = random.Random(0)
+    words = ["".join(rng.choice("aabc12'st.!,é\u00a0\u2003日🙂\x85\x1c%") for _ in range(rng.randint(1, 9))) for _ in range(3000)] + ["a", "'s", "\u00a0", "1"]
+    want = [sub.encode(" " + w) for w in words]
+    for row in (7, 20000):
+        monkeypatch.setattr(lm.Subwords, "ROW", row)
+        ids, at = sub.ids(words)
+        assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == want
+    assert sub.ids([])[1].tolist() == [0]
+
+
 def test_lm_scores_equal_one_window_at_a_time(vocabulary):
     tok = pytest.importorskip("public_tokenizers")
     sub = lm.Subwords(str(tok.path("byte_bpe_50k.tiktoken")), tok.PATTERN)
