@@ -470,16 +470,6 @@ def mixture_step(spark, d):
     return T.em_step(R.table(spark, d, "lineitem"), "l_quantity", [0.5, 0.5], [15.0, 35.0], [50.0, 50.0])
 
 
-@query("mixture_groups", "SELECT CAST(b AS BIGINT) AS centre, round(count(*) / (SELECT count(*) FROM lineitem)::DOUBLE, 3) AS weight FROM (SELECT CASE WHEN l_quantity < 20 THEN 0 WHEN l_quantity < 40 THEN 100 ELSE 250 END AS b FROM lineitem) GROUP BY b")
-def mixture_groups(spark, d):
-    """Quantities pulled into three tight groups; the search for the number of Gaussians begins with one more than there are."""
-    q = F.col("l_quantity")
-    centre = F.when(q < 20, 0).when(q < 40, 100).otherwise(250)
-    found = T.split_merge_mixture(R.table(spark, d, "lineitem").select((centre + q / 10).alias("x")), "x", 4)
-    rows = [(int(round((m - 2.5) / 50) * 50), w) for w, m, _ in found.state]
-    return spark.createDataFrame(rows, "centre long, weight double").groupBy("centre").agg(F.round(F.sum("weight"), 3).alias("weight"))
-
-
 def _psd_sql() -> str:
     rows = ", ".join(f"({j}, {i}, {v!r})" for j, t in enumerate(P.dpss(64, 2.0, 3).tolist()) for i, v in enumerate(t))
     return f"""WITH {R.SPECTRA}, w(j, i, w) AS (VALUES {rows}), b AS (SELECT unnest(range(64)) AS b),
