@@ -122,21 +122,21 @@ def letters(p: dict[tuple[str, str], float], means: dict[str, float], alpha: flo
     return {a: "".join(chr(97 + k) for k, c in enumerate(cliques) if a in c) for a in names}
 
 
-def hashed(key: Column, rep: int, seed: int = 0) -> Column:
-    """A number in [0, 1) for a key of any type and a replicate."""
-    return F.pmod(F.xxhash64(key, F.lit(rep), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+def hashed(key: str, rep: int, seed: int = 0) -> Column:
+    """A number in [0, 1) for a key column of any type and a replicate."""
+    return F.expr(f"pmod(xxhash64(`{key}`, {rep}, {seed}), {1 << 52}L) / {float(1 << 52)!r}D")
 
 
 #: A prime under 2**31: products of remainders fit 64 bits.
 PRIME = 2147483647
 
 
-def congruential(key: Column, rep: int, seed: int = 0) -> Column:
+def congruential(key: str, rep: int, seed: int = 0) -> Column:
     """The same for whole numbers, in arithmetic that any SQL engine has: three squarings modulo a prime."""
-    h = F.pmod(key.cast("long") * 48271 + (rep + 1) * 69621 + seed + 1, F.lit(PRIME))
+    h = f"pmod(CAST(`{key}` AS BIGINT) * 48271 + {(rep + 1) * 69621 + seed + 1}L, {PRIME}L)"
     for k in (16807, 39373, 742938285):
-        h = F.pmod(h * h + h * F.lit(k % 65536) + F.lit(k), F.lit(PRIME))
-    return h / F.lit(float(PRIME))
+        h = f"pmod({h} * ({h} + {k % 65536}L) + {k}L, {PRIME}L)"
+    return F.expr(f"{h} / {float(PRIME)!r}D")
 
 
 def bootstrap(df: DataFrame, key: str, times: int, statistic, seed: int = 0, draw=hashed) -> DataFrame:
@@ -145,11 +145,12 @@ def bootstrap(df: DataFrame, key: str, times: int, statistic, seed: int = 0, dra
     ``statistic(w)`` is an aggregate in which a row counts w times, such as weighted_mean("x"). A row's weight
     is a Poisson draw of its key and the replicate, so a resample's size varies as it would.
     """
-    # A replicate's draw is a column of its own, so that it is made once.
-    draws = df.select("*", *[draw(F.col(key), r, seed).alias(f"_u{r}") for r in range(times)])
+    # A replicate's draw and its count are columns of their own, so that each is made once.
+    draws = df.select("*", *[draw(key, r, seed).alias(f"_u{r}") for r in range(times)])
     tails = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
-    count = lambda r: sum((F.when(F.col(f"_u{r}") >= t, 1).otherwise(0) for t in tails[1:]), F.when(F.col(f"_u{r}") >= tails[0], 1).otherwise(0))
-    one = draws.agg(*[statistic(count(r)).alias(f"_v{r}") for r in range(times)])
+    steps = " ".join(f"WHEN {{u}} < {t!r}D THEN {k}" for k, t in enumerate(tails))
+    counts = draws.select("*", *[F.expr(f"CASE {steps.format(u=f'_u{r}')} ELSE 9 END").alias(f"_w{r}") for r in range(times)])
+    one = counts.agg(*[statistic(F.col(f"_w{r}")).alias(f"_v{r}") for r in range(times)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rep"), F.col(f"_v{r}").alias("value")) for r in range(times)])).alias("r")).select("r.*")
 
 
@@ -182,7 +183,7 @@ def resample(df: DataFrame, key: str, reps: int = 1, seed: int = 0, draw=hashed,
     numbered = tagged.withColumn("_i", begin[F.col("_b")] + F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(key), key)) - 1).drop("_b")
     out = None
     for rep in range(reps):
-        pick = F.least(F.floor(draw(F.col("id"), rep, seed) * total), F.lit(max(total - 1, 0))).alias("_i")
+        pick = F.least(F.floor(draw("id", rep, seed) * total), F.lit(max(total - 1, 0))).alias("_i")
         counts = df.sparkSession.range(total).select(pick).groupBy("_i").agg(F.count("*").alias("times")).withColumn("rep", F.lit(rep))
         out = counts if out is None else out.unionByName(counts)
     return numbered.join(out, "_i").select("rep", "times", *df.columns)
