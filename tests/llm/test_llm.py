@@ -561,6 +561,71 @@ def test_lm_learns_from_documents_outside_the_sample(spark, vocabulary, monkeypa
     assert np.allclose(want, [got[1000], got[1001]], atol=1e-4)
 
 
+def test_lm_weights_and_classes_come_from_all_training_documents(spark, vocabulary, monkeypatch):
+    tok = pytest.importorskip("public_tokenizers")
+    path, pattern = str(tok.path("byte_bpe_50k.tiktoken")), tok.PATTERN
+    sub = lm.Subwords(path, pattern)
+    texts = make_texts(300, 5, 60)
+    rows = [*enumerate(texts), (1000, "one two three four")]
+    monkeypatch.setattr(lm, "sample", lambda docs, n: texts[:3])
+    monkeypatch.setattr(lm, "FAN", 2)  # several levels of sums
+    kept, real = {}, lm.train
+
+    def starting(drawn, counts, subwords):
+        model = real(drawn, counts, subwords, steps=20)
+        kept.update(model=model, start={k: v.copy() for k, v in model.p.items()}, grouping=subwords.grouping)
+        return model
+
+    monkeypatch.setattr(lm, "train", starting)
+    docs = docs_of(spark, rows)
+    lm.score(docs, F.col("doc_id") >= 1000, path, pattern).collect()
+    model, start = kept["model"], lm.Model(kept["start"], kept["model"].group, kept["model"].leaf, kept["model"].share)
+    start.seen = model.seen
+    # Every id that a training document holds has learnt, in the sample or not, and predicts better.
+    ids, size = lm.sequences(lm.Words(pa.array(texts)), sub)
+    changed = (model.p["vector"] != start.p["vector"]).any(1)
+    assert set(np.flatnonzero(changed)) == set(ids.tolist())
+    few = lm.sequences(lm.Words(pa.array(texts[:3])), sub)[0]
+    assert len(set(ids.tolist())) > len(set(few.tolist()))
+    assert model.log10(ids, size, sub.end).mean() > start.log10(ids, size, sub.end).mean()
+    # The weights are the average of the groups' passes, by the tokens learnt from.
+    grouped, n_groups = common.grouped(docs)
+    by_g = collections.defaultdict(list)
+    for r in grouped.where("doc_id < 1000").orderBy("doc_id").collect():
+        by_g[r["g"]].append(r["text"])
+    assert n_groups > 2
+    total, times = np.zeros_like(lm.table_of(start.p), float), 0
+    for g, mine in by_g.items():
+        one = lm.sequences(lm.Words(pa.array(mine)), sub)
+        for r in lm.learn(start, *one, sub.end, g).to_pylist():
+            total[np.frombuffer(r["rows"], "<u4")] += np.frombuffer(r["sums"], np.float32).reshape(-1, lm.DIM)
+        times += len(one[0])
+    assert times == len(ids)
+    n = np.append(np.bincount(ids, minlength=sub.size), np.full(len(total) - sub.size, times))
+    assert np.allclose((total[n > 0] / n[n > 0, None]), lm.table_of(model.p)[n > 0], atol=1e-4)
+    # Classes are those of the corpus's pairs, counted plainly.
+    pair = collections.Counter()
+    ends = np.cumsum(size)
+    for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True):
+        pair.update(zip([sub.end, *ids[a : b - 1].tolist()], ids[a:b].tolist(), strict=True))
+    count = np.bincount(ids, minlength=sub.size).astype(float)
+    often = sorted((i for i in set(ids.tolist()) if i != sub.end), key=lambda i: (-count[i], i))[: lm.OFTEN]
+    want = {}
+    for (a, b), k in pair.items():
+        ratio = k * count.sum() / (count[a] * count[b])
+        for shift, row, other in ((0, b, a), (lm.OFTEN, a, b)):
+            if other in often and row != sub.end and ratio > 1:
+                want[row * 2 * lm.OFTEN + shift + often.index(other)] = math.log(ratio)
+    keys = np.array([a * sub.size + b for a, b in pair], np.uint64)
+    cell, value = lm.cells(keys, np.array(list(pair.values()), float), count, lm.columns(count))
+    got = dict(zip(cell.tolist(), value.tolist(), strict=True))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.01 for k in want)
+    group, vector = lm.classes(cell, value, count, sub.leads, np.random.default_rng(0))
+    order = np.argsort(cell)
+    same = lm.classes(cell[order], value[order], count, sub.leads, np.random.default_rng(0))
+    assert (group == same[0]).all() and (kept["grouping"][0] == group).all() and (kept["grouping"][1] == vector).all()
+
+
 # op8
 
 

@@ -4,10 +4,12 @@ Counts cover the whole corpus: groups of documents send their distinct words, wi
 buckets of a packed exchange and get each word's count back; the same exchange sums the counts of all
 subword ids of the training documents, and counts every pair of neighbouring ids. A token's probability is
 MIX * P(id | h) + (1 - MIX) * (n(previous, id) + PRIOR * P(id | h)) / (n(previous) + PRIOR): the pairs n are
-exact and of all training documents, P is the attention model. Its weights (embeddings, one masked head, an
-output over classes of ids, then over the
-leaves of a class) are trained in numpy on a bounded sample of the training documents; the frequent ids
-of a class are leaves of their own, the others share one by the counts of the whole corpus. Texts are scored in windows that overlap: every token is
+exact and of all training documents, P is the attention model: embeddings, one masked head, an output over
+classes of ids, then over the leaves of a class. Classes come from the pairs of all training documents; the
+frequent ids of a class are leaves of their own, the others share one, by the counts of the whole corpus. The
+weights learn from every token of every training document: each group takes a pass of gradient steps over all of
+its own, and the groups' weights are averaged by what they learnt from. The passes start at weights fitted to a
+bounded sample, which sets the start only. Texts are scored in windows that overlap: every token is
 scored once, with at least CONTEXT tokens before it where the text has them, many windows at a time.
 
 Words are runs without white space, A-Z as a-z; a word's subwords are those of the word with a blank
@@ -30,16 +32,21 @@ from . import common as C
 from . import exchange as X
 
 WIDTH, CONTEXT, DIM, CLASSES, LEAVES, BATCH = 32, 8, 16, 64, 48, 48
-#: Bounds of the fit: documents sampled and code points of each; steps of training.
+#: Bounds of the start of the fit: documents sampled and code points of each; steps of training.
 SAMPLE_DOCS, SAMPLE_CHARS, STEPS = 2500, 6000, 1500
-#: Windows in a step of training.
-BATCH_TRAIN = 128
+#: Windows in a step of training, and in a step of a group's pass, with the rate of the pass.
+BATCH_TRAIN, BATCH_PASS, RATE_PASS = 128, 512, 0.003
+#: Most frequent ids that ids are told apart by, as neighbours on either side, to make classes.
+OFTEN = 512
+#: Weights are summed in so many parts, of so many groups at a time.
+PARTS, FAN = 16, 64
 #: Words of the texts that are scored at a time.
 SLICE_WORDS = 1 << 18
 #: Share of the attention model in a probability, and its weight in the other share, in occurrences of the previous id.
 MIX, PRIOR = 0.8, 3.0
 #: Pairs are spread over the keys of the exchange by this factor; odd, so none coincide.
 SPREAD, KEY_MASK = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << X.KEY_BITS) - 1)
+UNSPREAD = np.uint64(pow(int(SPREAD), -1, 1 << X.KEY_BITS))
 #: Buckets that sum the counts of subword ids.
 ID_BUCKETS = 16
 
@@ -59,6 +66,7 @@ class Subwords:
         self.end = self.size - 1
         self.leads = np.zeros(self.size, bool)
         self.leads[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+        self.grouping = None  # classes and vectors of the ids, where a corpus gave them
         self.encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,18 +191,24 @@ def unpack_counts(raw: bytes) -> np.ndarray:
 
 
 def sum_counts(table: pa.Table, n_buckets: int) -> pa.Table:
-    """A bucket's counts, sent back to every group that asked; n tokens and v words in all on the first row."""
+    """A bucket's counts, sent back to every group that asked; n tokens and v words in all on the first row.
+
+    Row -1 of a bucket of ids has their counts, row -2 of one of pairs the pairs of training documents."""
     b = table.column("b")[0].as_py()
     table = table.sort_by("g")
     keys = [X.unpack(x) for x in table.column("keys").to_pylist()]
     raw = b"".join(table.column("extra").to_pylist())
     flat = np.concatenate(keys)
     if b >= n_buckets + ID_BUCKETS:
-        _, inverse = np.unique(flat, return_inverse=True)
-        back = np.bincount(inverse, np.frombuffer(raw, "<u4")).astype(np.uint64)[inverse]
+        one, inverse = np.unique(flat, return_inverse=True)
+        total = np.bincount(inverse, np.frombuffer(raw, "<u4")).astype(np.uint64)
+        back = total[inverse]
         cut = np.cumsum([len(k) for k in keys])[:-1]
         rows = zip(table.column("g").to_pylist(), np.split(back, cut), strict=True)
-        return pa.Table.from_pylist([{"g": g, "b": b, "codes": pack_counts(x), "top": 0, "n": 0, "v": 0} for g, x in rows], ANSWERS)
+        learnt = X.pack(one[total > 0]) + pack_counts(total[total > 0])
+        rows = [(g, pack_counts(x)) for g, x in rows] + [(-2, learnt)]
+        # Row -2 tells in top how many pairs it has.
+        return pa.Table.from_pylist([{"g": g, "b": b, "codes": x, "top": int((total > 0).sum()) if g == -2 else 0, "n": 0, "v": 0} for g, x in rows], ANSWERS)
     if b >= n_buckets:
         ids, inverse = np.unique(flat, return_inverse=True)
         total = np.bincount(inverse, np.frombuffer(raw, np.uint64)).astype(np.uint64)
@@ -229,6 +243,7 @@ class Model:
 
     def __init__(self, params: dict[str, np.ndarray], group: np.ndarray, leaf: np.ndarray, share: np.ndarray):
         self.p, self.group, self.leaf, self.share = params, group, leaf, share  # share: log of an id's part of its leaf
+        self.seen = np.full(len(params["vector"]), 1e-8, np.float32)  # sums of AdaGrad of the fit so far
 
     def hidden(self, previous: np.ndarray, keep: bool = False):
         p, d = self.p, DIM
@@ -309,24 +324,58 @@ def _pick(z: np.ndarray, target: np.ndarray) -> np.ndarray:
     return got - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
-def classes(ids: np.ndarray, size: int, starts: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of ids by their neighbours in the sample, and vectors; unseen ids share two classes."""
-    group = np.where(starts, CLASSES - 2, CLASSES - 3)
+def columns(counts: np.ndarray) -> np.ndarray:
+    """The place of each of the OFTEN most frequent ids, the end aside; -1 for all others."""
+    known = np.flatnonzero(counts[:-1] > 0)
+    often = known[np.argsort(-counts[known], kind="stable")[:OFTEN]]
+    col = np.full(len(counts), -1)
+    col[often] = np.arange(len(often))
+    return col
+
+
+def cells(pair: np.ndarray, n: np.ndarray, counts: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, frequent neighbour) as one number, and the log of how much oftener than by chance they meet; those that do."""
+    size, found = len(counts), []
+    a, b = (pair // np.uint64(size)).astype(np.int64), (pair % np.uint64(size)).astype(np.int64)
+    for shift, row, other in ((0, b, a), (OFTEN, a, b)):
+        ok = (col[other] >= 0) & (row != size - 1)
+        ratio = n[ok] * counts.sum() / (counts[row[ok]] * counts[other[ok]])
+        cell = row[ok] * (2 * OFTEN) + shift + col[other[ok]]
+        found.append((cell[ratio > 1], np.log(ratio[ratio > 1])))
+    return np.concatenate([x for x, _ in found]).astype("<u4"), np.concatenate([y for _, y in found]).astype("<f2")
+
+
+def neighbours(found: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """cells() of the pairs of all training documents; at most one for an id and each of the frequent ones on a side."""
+    known = found.sparkSession.sparkContext.broadcast((counts, columns(counts)))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for raw, n in zip(batch.column("codes").to_pylist(), batch.column("top").to_pylist(), strict=True):
+                cut = n * X.KEY_BITS // 8
+                cell, value = cells(X.unpack(raw[:cut]) * UNSPREAD & KEY_MASK, unpack_counts(raw[cut:]).astype(float), *known.value)
+                out.append({"cell": cell.tobytes(), "value": value.tobytes()})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("cell", pa.binary()), ("value", pa.binary())]))
+
+    rows = found.where("g = -2").select("codes", "top").mapInArrow(run, "cell binary, value binary").collect()
+    return np.frombuffer(b"".join(r["cell"] for r in rows), "<u4"), np.frombuffer(b"".join(r["value"] for r in rows), "<f2")
+
+
+def classes(cell: np.ndarray, value: np.ndarray, counts: np.ndarray, leads: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of ids by their neighbours (cells()), and vectors; unseen ids share two classes."""
+    size = len(counts)
+    group = np.where(leads, CLASSES - 2, CLASSES - 3)
     vector = np.zeros((size, DIM), np.float32)
     group[size - 1] = CLASSES - 1
-    count = np.bincount(ids, minlength=size)
-    known = np.flatnonzero((count > 0) & (np.arange(size) != size - 1))
+    known = np.flatnonzero((counts > 0) & (np.arange(size) != size - 1))
     if len(known) < CLASSES:
         return group, vector
-    often = known[np.argsort(-count[known], kind="stable")[:512]]
-    row, col = np.full(size, -1), np.full(size, -1)
-    row[known], col[often] = np.arange(len(known)), np.arange(len(often))
-    pairs = np.zeros((len(known), 2 * len(often)))
-    for shift, (a, b) in enumerate(((ids[1:], ids[:-1]), (ids[:-1], ids[1:]))):
-        ok = (row[a] >= 0) & (col[b] >= 0)
-        np.add.at(pairs, (row[a][ok], col[b][ok] + shift * len(often)), 1)
-    expected = pairs.sum(1, keepdims=True) * pairs.sum(0, keepdims=True) / max(pairs.sum(), 1)
-    pairs = np.log1p(np.maximum(0, pairs / np.maximum(expected, 1e-9) - 1)) * np.sqrt(np.minimum(1, count[known, None] / 20))
+    count, row = counts, np.full(size, -1)
+    row[known] = np.arange(len(known))
+    pairs = np.zeros((len(known), 2 * OFTEN), np.float32)
+    pairs[row[cell // (2 * OFTEN)], cell % (2 * OFTEN)] = value
+    pairs *= np.sqrt(np.minimum(1, count[known, None] / 20)).astype(np.float32)
     value, basis = np.linalg.eigh(pairs.T @ pairs)
     point = pairs @ basis[:, -DIM:]
     point /= np.linalg.norm(point, axis=1, keepdims=True) + 1e-6
@@ -342,13 +391,16 @@ def classes(ids: np.ndarray, size: int, starts: np.ndarray, rng: np.random.Gener
 
 
 def train(texts: list[str], counts: np.ndarray, subwords: Subwords, seed: int = 0, steps: int = STEPS) -> Model:
-    """Classes from the sample, shares from the counts of the whole corpus, weights by Adam."""
+    """Classes from the corpus, or from the texts where none gave any; shares from the counts; weights, by Adam, from the texts."""
     rng = np.random.default_rng(seed)
     words = Words(pa.array(texts, pa.large_string()))
     ids, size = sequences(words, subwords)
-    starts = np.zeros(subwords.size, bool)
-    starts[[x[0] for x in (subwords.encode(" " + w)[:1] for w in words.text) if x]] = True
-    group, vector = classes(ids, subwords.size, starts, rng)
+    if subwords.grouping is None:
+        own = np.bincount(ids, minlength=subwords.size).astype(float)
+        pair, n = np.unique(pairs_of(ids, size, subwords).astype(np.uint64), return_counts=True)
+        group, vector = classes(*cells(pair, n.astype(float), own, columns(own)), own, subwords.leads, rng)
+    else:
+        group, vector = subwords.grouping
     # The most frequent ids of each class, by the corpus, are leaves; the last leaf is for all others.
     order = np.lexsort((np.arange(subwords.size), -counts, group))
     rank = np.empty(subwords.size, np.int64)
@@ -371,9 +423,9 @@ def train(texts: list[str], counts: np.ndarray, subwords: Subwords, seed: int =
         "bias2": (inner - inner.max(1, keepdims=True)).astype(f),
     }
     model = Model(p, group, leaf, share)
-    seen = np.full(len(p["vector"]), 1e-8, f)
+    model.seen = np.full(len(p["vector"]), 1e-8, f)
     at, width = spans(size)
-    fit(model, seen, ids, size, subwords.end, (rng.choice(len(at), min(BATCH_TRAIN, len(at)), replace=False) for _ in range(steps if len(at) else 0)), steps, 0.01)
+    fit(model, model.seen, ids, size, subwords.end, (rng.choice(len(at), min(BATCH_TRAIN, len(at)), replace=False) for _ in range(steps if len(at) else 0)), steps, 0.01)
     return model
 
 
@@ -400,19 +452,28 @@ def fit(model: Model, seen: np.ndarray, ids: np.ndarray, size: np.ndarray, end:
         h, (x, q, k, v, a, o) = model.hidden(previous[spot], keep=True)
         n, t, d = x.shape
         flat, target = h[live], ids[spot[live]]
-        e = _error(flat @ p["out"] + p["bias"], group[target])
-        g = {"out": flat.T @ e, "bias": e.sum(0), "out2": np.zeros_like(p["out2"]), "bias2": np.zeros_like(p["bias2"])}
-        back = e @ p["out"].T
-        order = np.argsort(group[target], kind="stable")
-        cut = np.searchsorted(group[target][order], np.arange(CLASSES + 1))
+        # Ids in the order of their classes, in parts that stay in the cache.
+        order = np.argsort(group[target].astype(np.uint8), kind="stable")
+        flat, of, at_leaf = flat[order], group[target[order]], leaf[target[order]]
+        cut = np.searchsorted(of, np.arange(CLASSES + 1))
+        g = {k: np.zeros_like(p[k]) for k in ("out", "bias", "out2", "bias2")}
+        back, own = np.empty_like(flat), np.empty_like(flat)
+        for i in range(0, len(flat), 1024):
+            some = slice(i, i + 1024)
+            e = _error(flat[some] @ p["out"] + p["bias"], of[some], len(flat))
+            g["out"] += flat[some].T @ e
+            g["bias"] += e.sum(0)
+            back[some] = e @ p["out"].T
         for c in np.flatnonzero(np.diff(cut)).tolist():
-            some = order[cut[c] : cut[c + 1]]
-            e = _error(flat[some] @ p["out2"][c] + p["bias2"][c], leaf[target[some]])
-            e *= f(len(some) / len(target))
-            g["out2"][c], g["bias2"][c] = flat[some].T @ e, e.sum(0)
-            back[some] += e @ p["out2"][c].T
+            for i in range(cut[c], cut[c + 1], 1024):
+                some = slice(i, min(i + 1024, cut[c + 1]))
+                e = _error(flat[some] @ p["out2"][c] + p["bias2"][c], at_leaf[some], len(flat))
+                g["out2"][c] += flat[some].T @ e
+                g["bias2"][c] += e.sum(0)
+                back[some] += e @ p["out2"][c].T
+        own[order] = back
         dh = np.zeros((n, t, d), f)
-        dh[live] = back
+        dh[live] = own
         g["mix"] = o.reshape(-1, d).T @ dh.reshape(-1, d)
         do = (dh.reshape(-1, d) @ p["mix"].T).reshape(n, t, d)
         da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
@@ -435,16 +496,91 @@ def fit(model: Model, seen: np.ndarray, ids: np.ndarray, size: np.ndarray, end:
         p["vector"][used] -= 0.1 * gv / np.sqrt(seen[used])[:, None]
 
 
-def _error(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Gradient of the mean loss by the logits."""
-    z -= z.max(1, keepdims=True)
+def _error(z: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
+    """Gradient by the logits of the loss, of which these rows are a part of ``n``."""
+    np.minimum(z, np.float32(80), out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(len(z)), target] -= 1
-    z /= len(z)
+    z *= (np.float32(1 / n) / (z @ np.ones(z.shape[1], np.float32)))[:, None]
+    z[np.arange(len(z)), target] -= np.float32(1 / n)
     return z
 
 
+DENSE = ("place", "qkv", "mix", "out", "bias", "out2", "bias2")
+WEIGHTS_TYPE = "part int, g int, rows binary, times binary, sums binary"
+WEIGHTS = pa.schema([("part", pa.int32()), ("g", pa.int32()), ("rows", pa.binary()), ("times", pa.binary()), ("sums", pa.binary())])
+
+
+def table_of(p: dict[str, np.ndarray]) -> np.ndarray:
+    """All weights as rows of DIM: the ids' vectors, then what all ids share, filled up with zeros."""
+    dense = np.concatenate([p[k].ravel() for k in DENSE])
+    return np.concatenate([p["vector"], np.append(dense, np.zeros(-len(dense) % DIM, np.float32)).reshape(-1, DIM)])
+
+
+def put_table(p: dict[str, np.ndarray], table: np.ndarray) -> None:
+    n = len(p["vector"])
+    p["vector"], flat, at = table[:n].astype(np.float32), table[n:].ravel().astype(np.float32), 0
+    for k in DENSE:
+        p[k] = flat[at : at + p[k].size].reshape(p[k].shape)
+        at += p[k].size
+
+
+def learn(model: Model, ids: np.ndarray, size: np.ndarray, end: int, g: int) -> pa.Table:
+    """A pass over every token of a group's training texts, from the weights given: rows of changed weights, summed over the tokens they learnt from."""
+    mine = Model({k: x.copy() for k, x in model.p.items()}, model.group, model.leaf, model.share)
+    at, _ = spans(size)
+    order = np.random.default_rng(g).permutation(len(at))
+    batch = min(BATCH_PASS, max(16, len(order) // 64))  # small groups take smaller steps, not fewer than a few
+    picks = [order[k : k + batch] for k in range(0, len(order), batch)]
+    fit(mine, model.seen.copy(), ids, size, end, picks, len(picks), RATE_PASS)
+    table, n = table_of(mine.p), len(mine.p["vector"])
+    # A vector learns from each token that its id stands before; a text's last id, the end, stands before its first.
+    times = np.append(np.bincount(ids, minlength=n), np.full(len(table) - n, len(ids))).astype(float)
+    out = []
+    for k in range(PARTS):
+        rows = np.arange(k, len(table), PARTS)
+        rows = rows[times[rows] > 0]
+        if len(rows):
+            sums = (table[rows] * times[rows, None]).astype(np.float32)
+            out.append({"part": k, "g": g // FAN, "rows": rows.astype("<u4").tobytes(), "times": times[rows].tobytes(), "sums": sums.tobytes()})
+    return pa.Table.from_pylist(out, WEIGHTS)
+
+
+def add_weights(table: pa.Table) -> pa.Table:
+    """The sum of the weights of groups, as one."""
+    got = sorted(zip(*(table.column(c).to_pylist() for c in ("rows", "times", "sums")), strict=True))
+    rows = np.unique(np.concatenate([np.frombuffer(r, "<u4") for r, _, _ in got]))
+    times, sums = np.zeros(len(rows)), np.zeros((len(rows), DIM))
+    for r, t, x in got:
+        at = np.searchsorted(rows, np.frombuffer(r, "<u4"))
+        times[at] += np.frombuffer(t)
+        sums[at] += np.frombuffer(x, np.float32).reshape(-1, DIM)
+    one = {"part": table.column("part")[0].as_py(), "g": table.column("g")[0].as_py() // FAN, "rows": rows.tobytes(), "times": times.tobytes(), "sums": sums.astype(np.float32).tobytes()}
+    return pa.Table.from_pylist([one], WEIGHTS)
+
+
+def learn_all(train_texts: DataFrame, n_groups: int, model: Model, vocabulary: str, pattern: str) -> None:
+    """Weights of the model after a pass of each group over all of its texts, averaged; a vector, by how often each group has its id."""
+    start = train_texts.sparkSession.sparkContext.broadcast((model.p, model.group, model.leaf, model.share, model.seen))
+
+    def run(table: pa.Table) -> pa.Table:
+        *parts, seen = start.value
+        given, subs = Model(*parts), Subwords(vocabulary, pattern)
+        given.seen = seen
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        ids, size = sequences(Words(table.column("text")), subs)
+        return learn(given, ids, size, subs.end, table.column("g")[0].as_py())
+
+    got = C.materialize(train_texts.groupBy("g").applyInArrow(lambda t: C.released(run)(t), WEIGHTS_TYPE))
+    while n_groups > 1:
+        got = got.groupBy("part", "g").applyInArrow(lambda t: C.released(add_weights)(t), WEIGHTS_TYPE)
+        n_groups = -(-n_groups // FAN)
+    table = table_of(model.p).astype(float)
+    for r in got.collect():
+        rows = np.frombuffer(r["rows"], "<u4")
+        table[rows] = np.frombuffer(r["sums"], np.float32).reshape(-1, DIM) / np.frombuffer(r["times"])[:, None]
+    put_table(model.p, table)
+
+
 def sequences(words: Words, subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, each with its end, and their numbers."""
     ids, at = subwords.ids(words.text)
@@ -483,9 +619,12 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str, pattern: str) -> D
         ids, times = np.frombuffer(r["codes"], np.uint64).reshape(2, -1)
         counts[ids.astype(np.int64)] += times
     counts[subwords.end] = n_train
+    with C.one_thread():
+        subwords.grouping = classes(*neighbours(found, counts), counts, subwords.leads, np.random.default_rng(0))
     drawn = sample(texts.where(~F.col("held_out")), n_train)
     with C.one_thread():
         model = train(drawn, counts, subwords)
+    learn_all(texts.where(~F.col("held_out")), n_groups, model, vocabulary, pattern)
     known = docs.sparkSession.sparkContext.broadcast((model.p, model.group, model.leaf, model.share, counts))
     floor = float(np.log10(n + 0.1 * (v + 1)))
     end_base = float(np.log10(n_train + 0.1))
@@ -528,7 +667,7 @@ def blend(log10: np.ndarray, pair: np.ndarray, previous: np.ndarray) -> np.ndarr
 
 
 def sample(docs: DataFrame, n: int, rows: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[str]:
-    """Up to about ``rows`` texts, drawn by a hash; of a longer text a part placed by a hash."""
+    """Up to about ``rows`` texts to start at, drawn by a hash; of a longer text a part placed by a hash."""
     steps = 1 << 30
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps))
     start = (F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.length("text") - chars, F.lit(1))) + 1).cast("int")
