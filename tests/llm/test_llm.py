@@ -569,6 +569,7 @@ def test_lm_weights_and_classes_come_from_all_training_documents(spark, vocabula
     rows = [*enumerate(texts), (1000, "one two three four")]
     monkeypatch.setattr(lm, "sample", lambda docs, n: texts[:3])
     monkeypatch.setattr(lm, "FAN", 2)  # several levels of sums
+    monkeypatch.setattr(common, "GROUP_BYTES", 4000)
     kept, real = {}, lm.train
 
     def starting(drawn, counts, subwords):
@@ -578,7 +579,11 @@ def test_lm_weights_and_classes_come_from_all_training_documents(spark, vocabula
 
     monkeypatch.setattr(lm, "train", starting)
     docs = docs_of(spark, rows)
-    lm.score(docs, F.col("doc_id") >= 1000, path, pattern).collect()
+    before, scores = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for partitions in ("3", before):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        scores.append({r["doc_id"]: r["score"] for r in lm.score(docs, F.col("doc_id") >= 1000, path, pattern).collect()})
+    assert all(abs(scores[0][d] - scores[1][d]) < 1e-3 for d, _ in rows)  # of no setting of the session
     model, start = kept["model"], lm.Model(kept["start"], kept["model"].group, kept["model"].leaf, kept["model"].share)
     start.seen = model.seen
     # Every id that a training document holds has learnt, in the sample or not, and predicts better.
@@ -589,9 +594,9 @@ def test_lm_weights_and_classes_come_from_all_training_documents(spark, vocabula
     assert len(set(ids.tolist())) > len(set(few.tolist()))
     assert model.log10(ids, size, sub.end).mean() > start.log10(ids, size, sub.end).mean()
     # The weights are the average of the groups' passes, by the tokens learnt from.
-    grouped, n_groups = common.grouped(docs)
+    parts, n_groups = lm.learners(docs.where("doc_id < 1000"), sum(len(t) + 16 for t in texts))
     by_g = collections.defaultdict(list)
-    for r in grouped.where("doc_id < 1000").orderBy("doc_id").collect():
+    for r in parts.orderBy("doc_id").collect():
         by_g[r["g"]].append(r["text"])
     assert n_groups > 2
     total, times = np.zeros_like(lm.table_of(start.p), float), 0

@@ -7,8 +7,8 @@ MIX * P(id | h) + (1 - MIX) * (n(previous, id) + PRIOR * P(id | h)) / (n(previou
 exact and of all training documents, P is the attention model: embeddings, one masked head, an output over
 classes of ids, then over the leaves of a class. Classes come from the pairs of all training documents; the
 frequent ids of a class are leaves of their own, the others share one, by the counts of the whole corpus. The
-weights learn from every token of every training document: each group takes a pass of gradient steps over all of
-its own, and the groups' weights are averaged by what they learnt from. The passes start at weights fitted to a
+weights learn from every token of every training document: each part of them, of a fixed size, takes a pass of
+gradient steps over all of its own, and the parts' weights are averaged by what they learnt from. The passes start at weights fitted to a
 bounded sample, which sets the start only. Texts are scored in windows that overlap: every token is
 scored once, with at least CONTEXT tokens before it where the text has them, many windows at a time.
 
@@ -558,6 +558,12 @@ def add_weights(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([one], WEIGHTS)
 
 
+def learners(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """docs with the part they are learnt in as g, and the number of parts: both follow the texts, no setting of the session."""
+    n = max(1, -(-total // C.group_size(total)))
+    return docs.withColumn("g", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int")), n
+
+
 def learn_all(train_texts: DataFrame, n_groups: int, model: Model, vocabulary: str, pattern: str) -> None:
     """Weights of the model after a pass of each group over all of its texts, averaged; a vector, by how often each group has its id."""
     start = train_texts.sparkSession.sparkContext.broadcast((model.p, model.group, model.leaf, model.share, model.seen))
@@ -610,7 +616,8 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str, pattern: str) -> D
 
     sent = by_g.applyInArrow(lambda t: C.released(send)(t), X.PARCEL_TYPE)
     found = C.materialize(sent.groupBy("b").applyInArrow(lambda t: sum_counts(t, n_groups), ANSWER_TYPE))
-    n_train = texts.where(~F.col("held_out")).count()
+    training = texts.where(~F.col("held_out"))
+    n_train, total = training.agg(F.count("*"), F.sum(F.octet_length("text").cast("long") + 16)).first()
     n, v = found.agg(F.sum("n"), F.sum("v")).first()
     n, v = (n or 0) + n_train, (v or 0) + (n_train > 0)
     subwords = Subwords(vocabulary, pattern)
@@ -621,10 +628,10 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str, pattern: str) -> D
     counts[subwords.end] = n_train
     with C.one_thread():
         subwords.grouping = classes(*neighbours(found, counts), counts, subwords.leads, np.random.default_rng(0))
-    drawn = sample(texts.where(~F.col("held_out")), n_train)
+    drawn = sample(training, n_train)
     with C.one_thread():
         model = train(drawn, counts, subwords)
-    learn_all(texts.where(~F.col("held_out")), n_groups, model, vocabulary, pattern)
+    learn_all(*learners(training, total or 0), model, vocabulary, pattern)
     known = docs.sparkSession.sparkContext.broadcast((model.p, model.group, model.leaf, model.share, counts))
     floor = float(np.log10(n + 0.1 * (v + 1)))
     end_base = float(np.log10(n_train + 0.1))
