@@ -631,6 +631,69 @@ def test_lm_weights_and_classes_come_from_all_training_documents(spark, vocabula
     assert (group == same[0]).all() and (kept["grouping"][0] == group).all() and (kept["grouping"][1] == vector).all()
 
 
+def test_lm_gradients_equal_differences_of_the_loss(vocabulary):
+    tok = pytest.importorskip("public_tokenizers")
+    sub = lm.Subwords(str(tok.path("byte_bpe_50k.tiktoken")), tok.PATTERN)
+    texts = make_texts(60, 4, 90)
+    ids, size = lm.sequences(lm.Words(pa.array(texts)), sub)
+    model = lm.train(texts, np.bincount(ids, minlength=sub.size).astype(float), sub, steps=30)
+    n, t, d = 6, lm.WIDTH, lm.DIM
+    rng = np.random.default_rng(3)
+    spot = rng.integers(1, len(ids) - t, n)[:, None] + np.arange(t)
+    before, target = ids[spot - 1], ids[spot].ravel()
+
+    def loss(p):
+        total = 0
+        for row, want in zip(before, target.reshape(n, t), strict=True):
+            x = p["vector"][row] + p["place"][:t]
+            q, k, v = (x @ p["qkv"][:, i * d : i * d + d] for i in range(3))
+            a = np.exp(q @ k.T) * np.tril(np.ones((t, t)))
+            h = x + (a / a.sum(1, keepdims=True)) @ v @ p["mix"]
+            for i, c, leaf in zip(h, model.group[want], model.leaf[want], strict=True):
+                for z, y in ((i @ p["out"] + p["bias"], c), (i @ p["out2"][c] + p["bias2"][c], leaf)):
+                    total += np.log(np.exp(z).sum()) - z[y]
+        return total / (n * t)
+
+    h, kept = model.hidden(before, keep=True)
+    cell = model.cell[target]
+    order = np.argsort(cell, kind="stable")
+    back, g = lm._softmax_gradient(model, lm.beside_one(h.reshape(-1, d)[order]), cell[order])
+    dh = np.empty((n * t, d), np.float32)
+    dh[order] = back[:-1]
+    g.update((k, np.zeros_like(model.p[k])) for k in ("place", "qkv", "mix"))
+    dx = lm._attention_gradient(model.p, kept, dh.reshape(n, t, d), g)
+    g["vector"] = np.zeros_like(model.p["vector"])
+    np.add.at(g["vector"], before.ravel(), dx)
+    p = {k: x.astype(float) for k, x in model.p.items()}
+    for name, grad in g.items():
+        # The steepest weights and some others.
+        flat = grad.ravel()
+        for at in [*np.argsort(-abs(flat))[:4], *rng.integers(0, flat.size, 2)]:
+            either = []
+            for by in (1e-4, -1e-4):
+                moved = p[name].ravel().copy()
+                moved[at] += by
+                either.append(loss({**p, name: moved.reshape(p[name].shape)}))
+            assert abs((either[0] - either[1]) / 2e-4 - flat[at]) < 1e-5 + 1e-3 * abs(flat[at]), (name, at)
+
+
+def test_lm_probabilities_of_huge_logits_are_capped(vocabulary):
+    tok = pytest.importorskip("public_tokenizers")
+    sub = lm.Subwords(str(tok.path("byte_bpe_50k.tiktoken")), tok.PATTERN)
+    texts = make_texts(60, 4, 90)
+    ids, size = lm.sequences(lm.Words(pa.array(texts)), sub)
+    model = lm.train(texts, np.bincount(ids, minlength=sub.size).astype(float), sub, steps=5)
+    h = model.hidden(ids[None, :20])[0]
+    assert not model.capped(h) and model.capped(h * 1e4)
+    assert np.isfinite(model.log_probability(h * np.float32(1e4), ids[1:21])).all()
+
+
+def test_lm_distinct_values_and_their_places():
+    for values in (np.array([5, 3, 5, 2**63, 3, 0], np.uint64), np.array([7], np.uint32), np.zeros(0, np.uint64)):
+        one, place, which = lm.distinct(values)
+        assert one.tolist() == sorted(set(values.tolist())) and (values[place] == one).all() and (one[which] == values).all()
+
+
 # op8
 
 

@@ -22,6 +22,7 @@ hashes; of equally frequent subwords the smaller id comes first.
 from __future__ import annotations
 
 import base64
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ from . import common as C
 from . import exchange as X
 
 WIDTH, CONTEXT, DIM, CLASSES, LEAVES, BATCH = 32, 8, 16, 64, 48, 48
+#: Rows of a matrix product, few enough for the kernels that linear algebra has for small ones; plays no role in results.
+ROWS = 896
+#: Most that a logit counts for.
+CAP = np.float32(80)
 #: Bounds of the start of the fit: documents sampled and code points of each; steps of training.
 SAMPLE_DOCS, SAMPLE_CHARS, STEPS = 2500, 6000, 1500
 #: Windows in a step of training, and in a step of a group's pass, with the rate of the pass.
@@ -90,6 +95,24 @@ class Subwords:
         return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def subwords_of(path: str, pattern: str) -> Subwords:
+    """The vocabulary, read once by each worker."""
+    return Subwords(path, pattern)
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, ascending, a place of each, and which of them stands at each place."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    inverse = np.empty(len(values), np.int64)
+    inverse[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(values)))
+    return ordered[first], order[first], inverse
+
+
 class Words:
     """The words of a group: document and distinct word of each; distinct words by ascending hash."""
 
@@ -106,7 +129,7 @@ class Words:
             counts.append(np.diff(first))
         none = [np.zeros(0, np.int64)]
         self.size = np.concatenate(counts or none)  # words of each document
-        self.hash, one, self.word = np.unique(np.concatenate(keys or [np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
+        self.hash, one, self.word = distinct(np.concatenate(keys or [np.zeros(0, np.uint64)]))
         start, end = np.concatenate(starts or none)[one], np.concatenate(ends or none)[one]
         raw = data.tobytes()
         self.text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
@@ -162,7 +185,7 @@ def pair_counts(words: Words, ids: np.ndarray, at: np.ndarray, subwords: Subword
         times += [n, np.zeros(len(other), np.int64)]
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    pair, inverse = np.unique(np.concatenate(found), return_inverse=True)
+    pair, _, inverse = distinct(np.concatenate(found))
     count = np.bincount(inverse, np.concatenate(times), len(pair)).astype(np.uint32)
     key = spread(pair)
     order = np.argsort(key)
@@ -243,44 +266,59 @@ class Model:
 
     def __init__(self, params: dict[str, np.ndarray], group: np.ndarray, leaf: np.ndarray, share: np.ndarray):
         self.p, self.group, self.leaf, self.share = params, group, leaf, share  # share: log of an id's part of its leaf
+        self.cell = (group * (LEAVES + 1) + leaf).astype(np.uint16)
         self.seen = np.full(len(params["vector"]), 1e-8, np.float32)  # sums of AdaGrad of the fit so far
 
-    def hidden(self, previous: np.ndarray, keep: bool = False):
+    def hidden(self, previous: np.ndarray, keep: bool = False, skip: int = 0):
+        """States of all tokens but the first ``skip`` of each window, and what their gradient needs."""
         p, d = self.p, DIM
         n, t = previous.shape
-        x = p["vector"][previous]
+        x = np.take(p["vector"], previous, axis=0)
         x += p["place"][:t]
-        flat = x.reshape(-1, d)
-        q, k, v = ((flat @ p["qkv"][:, i * d : i * d + d]).reshape(n, t, d) for i in range(3))
-        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+        qkv = x @ p["qkv"]
+        a = qkv[:, skip:, :d] @ np.ascontiguousarray(qkv[:, :, d : 2 * d].transpose(0, 2, 1))
         np.clip(a, -60, 60, out=a)
         np.exp(a, out=a)
-        a *= CAUSAL[:t, :t]
-        total = a.sum(2, keepdims=True)
-        if keep:
-            a /= total
-            o = a @ v
-            return x + (o.reshape(-1, d) @ p["mix"]).reshape(n, t, d), (x, q, k, v, a, o)
-        o = a @ v
-        o /= total
-        x += (o.reshape(-1, d) @ p["mix"]).reshape(n, t, d)
-        return x
+        a *= CAUSAL[skip:t, :t]
+        # The weights stay undivided; what they sum up is narrower.
+        share = 1 / (a.reshape(-1, t) @ np.ones(t, np.float32))
+        o = a @ qkv[:, :, 2 * d :]
+        o *= np.repeat(share, d).reshape(o.shape)
+        h = o @ p["mix"]
+        h += x[:, skip:]
+        return (h, (x, qkv, a, o, share)) if keep else h
 
     def log_probability(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of P(id | h), row by row."""
-        out = self.share[ids]
-        group, leaf = self.group[ids], self.leaf[ids]
-        for k in range(0, len(ids), 2048):
-            part = slice(k, k + 2048)
-            out[part] += _pick(h[part] @ self.p["out"] + self.p["bias"], group[part])
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        cut = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        cell = self.cell[ids]
+        order = np.argsort(cell, kind="stable")
+        cell, got, rows = cell[order], self.share[ids[order]], beside_one(np.take(h, order, axis=0))
+        group, leaf = np.divmod(cell, LEAVES + 1)
+        first, second = self.layers()
+        capped = self.capped(rows)
+        for k in range(0, len(ids), ROWS):
+            part = slice(k, k + ROWS)
+            got[part] += _pick(rows[part] @ first, group[part], capped)
+        cut = np.searchsorted(group, np.arange(CLASSES + 1))
         for g in np.flatnonzero(np.diff(cut)).tolist():
-            for k in range(cut[g], cut[g + 1], 4096):
-                some = order[k : min(k + 4096, cut[g + 1])]
-                out[some] += _pick(h[some] @ self.p["out2"][g] + self.p["bias2"][g], leaf[some])
+            for k in range(cut[g], cut[g + 1], ROWS):
+                some = slice(k, min(k + ROWS, cut[g + 1]))
+                got[some] += _pick(rows[some] @ second[g], leaf[some], capped)
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
+    def layers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the classes, and of the leaves of each, with their biases as the last row."""
+        p = self.p
+        return np.concatenate([p["out"], p["bias"][None]]), np.concatenate([p["out2"], p["bias2"][:, None]], 1)
+
+    def capped(self, rows: np.ndarray) -> bool:
+        """Whether logits of these rows of states could pass CAP, by the largest lengths of states and of weights."""
+        p, h = self.p, rows[:, :DIM]
+        longest = np.einsum("ij,ij->i", h, h).max(initial=0) * max((p["out"] ** 2).sum(0).max(), (p["out2"] ** 2).sum(1).max())
+        return not np.sqrt(longest) + max(p["bias"].max(), p["bias2"].max()) < CAP
+
     def log10(self, ids: np.ndarray, size: np.ndarray, end: int) -> np.ndarray:
         """log10 probability of every token of texts one after the other."""
         out = np.empty(len(ids), np.float32)
@@ -305,7 +343,7 @@ class Model:
             batch = max(BATCH, BATCH * WIDTH // w)
             for k in range(0, len(some), batch):
                 spot = start[some[k : k + batch], None] + np.arange(w)
-                states.append(self.hidden(previous[spot])[:, skip:].reshape(-1, DIM))
+                states.append(self.hidden(previous[spot], skip=skip).reshape(-1, DIM))
                 spots.append(spot[:, skip:].ravel())
                 held += len(spots[-1])
                 if held > 1 << 17:
@@ -316,12 +354,32 @@ class Model:
         return out / np.float32(np.log(10))
 
 
-def _pick(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log softmax of each row at its target. Logits are small; capped, their exponentials cannot overflow."""
-    np.minimum(z, np.float32(80), out=z)
-    got = z[np.arange(len(z)), target]
-    np.exp(z, out=z)
-    return got - np.log(z @ np.ones(z.shape[1], np.float32))
+def beside_one(rows: np.ndarray) -> np.ndarray:
+    """Rows with a one after each, which meets a bias."""
+    out = np.ones((len(rows), rows.shape[1] + 1), np.float32)
+    out[:, :-1] = rows
+    return out
+
+
+def _exp(z: np.ndarray, capped: bool) -> np.ndarray:
+    """Exponentials of logits, in place. Logits are small; capped, their exponentials cannot overflow."""
+    if capped:
+        np.minimum(z, CAP, out=z)
+    return np.exp(z, out=z)
+
+
+def _pick(z: np.ndarray, target: np.ndarray, capped: bool) -> np.ndarray:
+    """log softmax of each row at its target."""
+    got = np.minimum(z[np.arange(len(z)), target], CAP)
+    return got - np.log(_exp(z, capped) @ np.ones(z.shape[1], np.float32))
+
+
+def _gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, some rows at a time."""
+    out = np.zeros((a.shape[1], b.shape[1]), np.float32)
+    for i in range(0, len(a), ROWS):
+        out += a[i : i + ROWS].T @ b[i : i + ROWS]
+    return out
 
 
 def columns(counts: np.ndarray) -> np.ndarray:
@@ -438,71 +496,109 @@ def spans(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(model: Model, seen: np.ndarray, ids: np.ndarray, size: np.ndarray, end: int, picks, steps: int, top_rate: float) -> None:
     """A step of Adam (vectors: of AdaGrad, whose sums are ``seen``) for each of ``picks``, places in spans(size)."""
-    p, group, leaf, f = model.p, model.group, model.leaf, np.float32
+    p, d, f = model.p, DIM, np.float32
     at, width = spans(size)
     previous = np.empty(len(ids), np.int32)
     previous[1:] = ids[:-1]
     previous[np.cumsum(size) - size] = end
-    moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items() if k != "vector"}
+    # All weights but the vectors are one array, of which p has parts.
+    dense = np.concatenate([p[k].ravel() for k in DENSE])
+    cut = np.cumsum([p[k].size for k in DENSE])[:-1]
+    p.update((k, x.reshape(p[k].shape)) for k, x in zip(DENSE, np.split(dense, cut), strict=True))
+    m, s, scratch = np.zeros_like(dense), np.zeros_like(dense), np.empty_like(dense)
     for step, some_windows in enumerate(picks, 1):
         # Short windows are filled up; what follows a text's end is masked and, as attention looks back only, reaches nothing.
         w = width[some_windows]
-        live = np.arange(w.max()) < w[:, None]
+        live = np.flatnonzero(np.arange(w.max()) < w[:, None])
         spot = np.minimum(at[some_windows, None] + np.arange(w.max()), len(ids) - 1)
-        h, (x, q, k, v, a, o) = model.hidden(previous[spot], keep=True)
-        n, t, d = x.shape
-        flat, target = h[live], ids[spot[live]]
-        # Ids in the order of their classes, in parts that stay in the cache.
-        order = np.argsort(group[target].astype(np.uint8), kind="stable")
-        flat, of, at_leaf = flat[order], group[target[order]], leaf[target[order]]
-        cut = np.searchsorted(of, np.arange(CLASSES + 1))
-        g = {k: np.zeros_like(p[k]) for k in ("out", "bias", "out2", "bias2")}
-        back, own = np.empty_like(flat), np.empty_like(flat)
-        for i in range(0, len(flat), 1024):
-            some = slice(i, i + 1024)
-            e = _error(flat[some] @ p["out"] + p["bias"], of[some], len(flat))
-            g["out"] += flat[some].T @ e
-            g["bias"] += e.sum(0)
-            back[some] = e @ p["out"].T
-        for c in np.flatnonzero(np.diff(cut)).tolist():
-            for i in range(cut[c], cut[c + 1], 1024):
-                some = slice(i, min(i + 1024, cut[c + 1]))
-                e = _error(flat[some] @ p["out2"][c] + p["bias2"][c], at_leaf[some], len(flat))
-                g["out2"][c] += flat[some].T @ e
-                g["bias2"][c] += e.sum(0)
-                back[some] += e @ p["out2"][c].T
-        own[order] = back
-        dh = np.zeros((n, t, d), f)
-        dh[live] = own
-        g["mix"] = o.reshape(-1, d).T @ dh.reshape(-1, d)
-        do = (dh.reshape(-1, d) @ p["mix"].T).reshape(n, t, d)
-        da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], 2).reshape(-1, 3 * d)
-        g["qkv"] = x.reshape(-1, d).T @ dqkv
-        dx = dh + (dqkv @ p["qkv"].T).reshape(n, t, d)
-        g["place"] = np.zeros_like(p["place"])
-        g["place"][:t] = dx.sum(0)
+        before = np.take(previous, spot)
+        blocks = [slice(k, k + BATCH) for k in range(0, len(before), BATCH)]
+        parts = [model.hidden(before[k], keep=True) for k in blocks]
+        h = np.concatenate([h for h, _ in parts])
+        # Tokens in the order of their classes and leaves.
+        cell = np.take(model.cell, np.take(ids, np.take(spot.ravel(), live)))
+        order = np.argsort(cell, kind="stable")
+        cell, place = cell[order], np.take(live, order)
+        back, g = _softmax_gradient(model, beside_one(np.take(h.reshape(-1, d), place, axis=0)), cell)
+        source = np.full(h.shape[0] * h.shape[1], len(place))
+        source[place] = np.arange(len(place))
+        dh = np.take(back, source, axis=0).reshape(h.shape)
+        g.update((k, np.zeros_like(p[k])) for k in ("place", "qkv", "mix"))
+        dx = np.concatenate([_attention_gradient(p, kept, dh[k], g) for k, (_, kept) in zip(blocks, parts, strict=True)])
         rate = top_rate * min(1, step / 20) * (1 - 0.9 * step / steps)
-        for name, grad in g.items():
-            m, s = moment[name]
-            m += 0.1 * (grad - m)
-            s += 0.01 * (grad**2 - s)
-            p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype(f)
-        used, own = np.unique(previous[spot[live]], return_inverse=True)
-        dx = dx[live]
-        gv = np.stack([np.bincount(own, dx[:, c], len(used)) for c in range(d)], 1).astype(f)
+        grad = np.concatenate([g[k].ravel() for k in DENSE])
+        grad += f(1e-16)  # far below what a step sees; keeps numbers out of the slow range next to zero
+        m += np.multiply(np.subtract(grad, m, out=scratch), f(0.1), out=scratch)
+        grad *= grad
+        s += np.multiply(np.subtract(grad, s, out=scratch), f(0.01), out=scratch)
+        np.sqrt(np.multiply(s, f(1 / (1 - 0.99**step)), out=scratch), out=scratch)
+        scratch += f(1e-8)
+        np.divide(m, scratch, out=scratch)
+        scratch *= f(rate / (1 - 0.9**step))
+        dense -= scratch
+        own = np.take(before.ravel(), live)
+        order = np.argsort(own)
+        own = own[order]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        used, gv = own[first], np.add.reduceat(np.take(dx, np.take(live, order), axis=0), first, axis=0)
         seen[used] += (gv**2).mean(1)
-        p["vector"][used] -= 0.1 * gv / np.sqrt(seen[used])[:, None]
-
-
-def _error(z: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
-    """Gradient by the logits of the loss, of which these rows are a part of ``n``."""
-    np.minimum(z, np.float32(80), out=z)
-    np.exp(z, out=z)
-    z *= (np.float32(1 / n) / (z @ np.ones(z.shape[1], np.float32)))[:, None]
-    z[np.arange(len(z)), target] -= np.float32(1 / n)
-    return z
+        p["vector"][used] -= f(0.1) * gv / np.sqrt(seen[used])[:, None]
+
+
+def _softmax_gradient(model: Model, rows: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Gradients of the mean loss by each row of states (and a row of zeros), and by the output's weights; rows come by ascending cell."""
+    p, d, n = model.p, DIM, len(rows)
+    first, second = model.layers()
+    up, up2 = np.ascontiguousarray(p["out"].T), np.ascontiguousarray(p["out2"].transpose(0, 2, 1))
+    got, share = np.empty((2, n, d), np.float32), np.empty((2, n), np.float32)
+    g, g2, capped = np.zeros_like(first), np.zeros_like(second), model.capped(rows)
+    group, leaf = np.divmod(cell.astype(np.int64), LEAVES + 1)
+
+    def layer(k: int, i: int, j: int, down: np.ndarray, up: np.ndarray, target: np.ndarray, total: np.ndarray) -> None:
+        # Softmax less target, times the sum of the exponentials; divided by it in the states, which are narrower.
+        some = rows[i:j]
+        z = _exp(some @ down, capped)
+        sums = z @ np.ones(z.shape[1], np.float32)
+        z.reshape(-1)[target[i:j] + np.arange(0, z.size, z.shape[1])] -= sums
+        np.matmul(z, up, out=got[k, i:j])
+        part = np.divide(np.float32(1 / n), sums, out=share[k, i:j])
+        total += (some * part[:, None]).T @ z
+
+    for i in range(0, n, ROWS):
+        layer(0, i, min(i + ROWS, n), first, up, group, g)
+    cut = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+    for c in range(CLASSES):
+        for i in range(cut[c], cut[c + 1], ROWS):
+            layer(1, i, min(i + ROWS, cut[c + 1]), second[c], up2[c], leaf, g2[c])
+    back = np.zeros((n + 1, d), np.float32)
+    np.multiply(got[0], share[0, :, None], out=back[:n])
+    back[:n] += got[1] * share[1, :, None]
+    return back, {"out": g[:d], "bias": g[d], "out2": g2[:, :d], "bias2": g2[:, d]}
+
+
+def _attention_gradient(p: dict[str, np.ndarray], kept: tuple[np.ndarray, ...], dh: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
+    """Gradient by the vectors of all places of some windows, from that by the states; those of the weights are added to ``g``."""
+    x, qkv, a, o, share = kept
+    n, t, d = x.shape
+    o = o.reshape(-1, d)
+    g["mix"] += _gram(o, dh.reshape(-1, d))
+    # Beside the gradient by what attention gives, what is to be taken from each weight's; both without the divisor.
+    wide, v = np.empty((n, t, d + 1), np.float32), np.ones((n, d + 1, t), np.float32)
+    flat = wide.reshape(-1, d + 1)
+    np.multiply((dh @ np.ascontiguousarray(p["mix"].T)).reshape(-1, d), share[:, None], out=flat[:, :d])
+    np.negative(np.einsum("ij,ij->i", flat[:, :d], o), out=flat[:, d])
+    v[:, :d] = qkv[:, :, 2 * d :].transpose(0, 2, 1)
+    ds = wide @ v
+    ds *= a
+    back = np.empty((n, t, 3 * d), np.float32)
+    np.matmul(ds, qkv[:, :, d : 2 * d], out=back[:, :, :d])
+    np.matmul(ds.transpose(0, 2, 1), qkv[:, :, :d], out=back[:, :, d : 2 * d])
+    np.matmul(a.transpose(0, 2, 1), wide[:, :, :d], out=back[:, :, 2 * d :])
+    g["qkv"] += _gram(x.reshape(-1, d), back.reshape(-1, 3 * d))
+    dx = back @ np.ascontiguousarray(p["qkv"].T)
+    dx += dh
+    g["place"][:t] += dx.sum(0)
+    return dx.reshape(-1, d)
 
 
 DENSE = ("place", "qkv", "mix", "out", "bias", "out2", "bias2")
@@ -570,7 +666,7 @@ def learn_all(train_texts: DataFrame, n_groups: int, model: Model, vocabulary: s
 
     def run(table: pa.Table) -> pa.Table:
         *parts, seen = start.value
-        given, subs = Model(*parts), Subwords(vocabulary, pattern)
+        given, subs = Model(*parts), subwords_of(vocabulary, pattern)
         given.seen = seen
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         ids, size = sequences(Words(table.column("text")), subs)
@@ -612,7 +708,7 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str, pattern: str) -> D
 
     def send(table: pa.Table) -> pa.Table:
         train_ = ~np.array(table.column("held_out").to_pylist(), bool)
-        return send_counts(Words(table.column("text")), train_, Subwords(vocabulary, pattern), table.column("g")[0].as_py(), n_groups)
+        return send_counts(Words(table.column("text")), train_, subwords_of(vocabulary, pattern), table.column("g")[0].as_py(), n_groups)
 
     sent = by_g.applyInArrow(lambda t: C.released(send)(t), X.PARCEL_TYPE)
     found = C.materialize(sent.groupBy("b").applyInArrow(lambda t: sum_counts(t, n_groups), ANSWER_TYPE))
@@ -638,7 +734,7 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str, pattern: str) -> D
     kind = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, subs = Words(left.column("text")), Subwords(vocabulary, pattern)
+        words, subs = Words(left.column("text")), subwords_of(vocabulary, pattern)
         codes = [unpack_counts(x) for x in right.sort_by("b").column("codes").to_pylist()]
         codes = np.concatenate(codes or [np.zeros(0, np.uint64)])  # of words, then of pairs
         count = codes[: len(words.hash)].astype(float)
@@ -649,7 +745,7 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str, pattern: str) -> D
         laid = []
         for i, j, part in slices(words):
             flat, size = laid_out(part, words.size[i:j], ids, at, subs.end)
-            pair, inverse = np.unique(pairs_of(flat, size, subs), return_inverse=True)
+            pair, _, inverse = distinct(pairs_of(flat, size, subs))
             laid.append((i, j, flat, size, pair, inverse.astype(np.int32)))
         # The pairs that the group sent, in the order of their keys.
         key = np.sort(spread(np.unique(np.concatenate([x[4] for x in laid]))))
